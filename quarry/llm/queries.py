@@ -7,8 +7,42 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import quality_rules
-from quarry.llm.common import table
+from quarry.llm import fingerprints, quality_rules, secret_links
+from quarry.llm.common import table, text_of
+
+
+def op4_secret_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document with linked weak parts."""
+    found = secret_links.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
+    counts = [count(k).alias(f"n_{secret_links.KINDS[k]}") for k in range(secret_links.BASE)]
+    return found.select(
+        "doc_id",
+        *counts,
+        F.sha2(secret_links.listed(F.col("base")), 256).alias("base_sha256"),
+        secret_links.listed(F.concat("base", "links")).alias("spans"),
+        F.size("links").cast("long").alias("n_linked"),
+    )
+
+
+def op5_scaled_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sketches of every document and of its edited text, and their likeness."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    df = fingerprints.with_next(docs, "doc_id", "text", fingerprints.sketch, "fp")
+    text = fingerprints.edited(text_of("text"), F.col("fp.next_text"))
+    df = df.select("doc_id", F.length(text_of("text")).cast("long").alias("n_chars"), F.col("fp.own").alias("fingerprint"), F.col("fp.next").alias("next_fp"), text.alias("edited"))
+    df = df.withColumn("edited_fingerprint", fingerprints.sketch(F.col("edited")))
+    own, other = F.col("fingerprint"), F.col("edited_fingerprint")
+    return df.select(
+        "doc_id",
+        "n_chars",
+        F.sha2("edited", 256).alias("edited_sha256"),
+        "fingerprint",
+        "edited_fingerprint",
+        fingerprints.likeness(own, other).alias("near_edited"),
+        fingerprints.likeness(own, F.col("next_fp")).alias("near_next"),
+        fingerprints.containment(own, other).alias("contained_edited"),
+    )
 
 
 def op10_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,7 +55,7 @@ def op10_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op10_decision_list": op10_decision_list}
+    return {"op4_secret_links": op4_secret_links, "op5_scaled_sketch": op5_scaled_sketch, "op10_decision_list": op10_decision_list}
 
 
 def oracle_sql() -> dict[str, str]:
