@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import fingerprints, quality_rules, secret_links
+from quarry.llm import fingerprints, packing, quality_rules, secret_links, trie_bpe
 from quarry.llm.common import table, text_of
 
 
@@ -45,6 +45,23 @@ def op5_scaled_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def vocabulary() -> str:
+    """The place of the vocabulary file that the queries use."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op6_bounded_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of 4096 tokens."""
+    return packing.pack(table(spark, sf_dir, "documents"), vocabulary())
+
+
+def op7_trie_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded and decoded."""
+    return trie_bpe.digests(table(spark, sf_dir, "documents"), vocabulary())
+
+
 def op10_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Statistics and verdict of every document by a decision list learnt from labels."""
     docs = table(spark, sf_dir, "documents")
@@ -55,7 +72,14 @@ def op10_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op4_secret_links": op4_secret_links, "op5_scaled_sketch": op5_scaled_sketch, "op10_decision_list": op10_decision_list}
+    all_ = (
+        op4_secret_links,
+        op5_scaled_sketch,
+        op6_bounded_packing,
+        op7_trie_bpe,
+        op10_decision_list,
+    )
+    return {f.__name__: f for f in all_}
 
 
 def oracle_sql() -> dict[str, str]:

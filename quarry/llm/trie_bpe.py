@@ -37,7 +37,7 @@ WHITE = "\t-\r \x85\xa0  -     　"
 WORDS = rf"'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}]+|[\p{{N}}]|[^{WHITE}\p{{L}}\p{{N}}]+"
 END = "</w>"
 #: Characters of text in a block, and chunks in one generation of what is kept.
-BLOCK, KEPT = 1 << 20, 150_000
+BLOCK, KEPT = 1 << 20, 300_000
 
 
 def byte_letters() -> list[str]:
@@ -190,37 +190,62 @@ class Encoder:
         return text.split()
 
     def _words(self, chunk: str) -> list[str]:
-        if chunk.isascii() and chunk.isprintable():
-            return [chunk] if chunk.isalpha() else self.pattern.findall(chunk)
-        return ["".join([self.letters[b] for b in w.encode("utf-8")]) for w in self.pattern.findall(chunk)]
+        if chunk.isascii() and chunk.isalpha():
+            return [chunk]
+        return self.pattern.findall(chunk)
+
+    def in_letters(self, word: str) -> str:
+        if word.isascii() and word.isprintable():
+            return word
+        return "".join([self.letters[b] for b in word.encode("utf-8")])
+
+    def encoded(self, words: set[str]) -> dict[str, tuple[int, ...]]:
+        """The ids of distinct words."""
+        by_letters = {self.in_letters(w): w for w in words}
+        return {by_letters[w]: ids for w, ids in encode_words(by_letters, self.v)}
+
+    #: What is kept for a chunk from its ids; chunks of a text are put together by joined().
+    kept = staticmethod(tuple)
+
+    @staticmethod
+    def joined(parts: Iterable[tuple[int, ...]]) -> list[int]:
+        return list(chain.from_iterable(parts))
 
     def learn(self, chunks: set[str]) -> None:
         """Make the ids of these chunks known; no others need stay so."""
-        new = chunks.difference(self.young)
+        young, old = self.young, self.old
+        new = chunks.difference(young)
         if not new:
             return
-        kept = {c: self.old[c] for c in new if c in self.old}
-        new.difference_update(kept)
-        special, by_chunk = self.v.specials, {}
+        again = {c: old[c] for c in new if c in old}
+        new.difference_update(again)
+        special = self.v.specials
+        by_chunk = {c: self._words(c) for c in new if c not in special}
+        words = {w for ws in by_chunk.values() for w in ws}
+        seen = {w: young[w] if w in young else old[w] for w in words if w in young or w in old}
+        ids = {w: self.kept(x) for w, x in self.encoded(words.difference(seen)).items()} | seen
+        if len(young) > KEPT:
+            self.old = young
+            self.young = {c: young[c] for c in chunks if c in young}
+        young = self.young
+        young.update(again)
         for c in new:
-            by_chunk[c] = None if c in special else self._words(c)
-        ids = dict(encode_words({w for ws in by_chunk.values() if ws for w in ws}, self.v))
-        if len(self.young) > KEPT:
-            self.old, rest = self.young, self.young
-            self.young = {c: rest[c] for c in chunks if c in rest}
-        self.young.update(kept)
-        for c, ws in by_chunk.items():
-            self.young[c] = (special[c],) if ws is None else ids[ws[0]] if len(ws) == 1 else tuple(chain.from_iterable([ids[w] for w in ws]))
-
-    def blocks(self, texts: Iterable[str]) -> Iterator[list[tuple[int, list[int]]]]:
+            ws = by_chunk.get(c)
+            if ws is None:
+                young[c] = self.kept((special[c],))
+            else:
+                young[c] = ids[ws[0]] if len(ws) == 1 else self.kept(self.joined([ids[w] for w in ws]))
+        young.update(ids)
+
+    def blocks(self, texts: Iterable[str]) -> Iterator[list[tuple[int, list]]]:
         """For each block the places of texts and their ids, or part of them; places ascend."""
         held: list[tuple[int, list[str]]] = []
         size = 0
 
-        def known() -> list[tuple[int, list[int]]]:
+        def known() -> list[tuple[int, list]]:
             self.learn(set(chain.from_iterable(c for _, c in held)))
             get = self.young.__getitem__
-            return [(k, list(chain.from_iterable(map(get, c)))) for k, c in held]
+            return [(k, self.joined(map(get, c))) for k, c in held]
 
         for k, text in enumerate(texts):
             for part in self.parts(text):
@@ -243,13 +268,13 @@ class Encoder:
             at = end
         yield text[at:] if at else text
 
-    def whole(self, texts: Iterable[str]) -> Iterator[tuple[int, list[int]]]:
+    def whole(self, texts: Iterable[str]) -> Iterator[tuple[int, list]]:
         """The place and all ids of each text."""
         place, ids = -1, []
         for block in self.blocks(texts):
             for k, more in block:
                 if k == place:
-                    ids += more
+                    ids = self.kept(self.joined([ids, more]))
                     continue
                 if place >= 0:
                     yield place, ids
