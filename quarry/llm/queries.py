@@ -7,10 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import fingerprints, packing, quality_rules, secret_links, trie_bpe
+from quarry.llm import bag_minhash, block_anchors, fingerprints, packing, quality_rules, secret_links, trie_bpe
 from quarry.llm.common import table, text_of
 
 
+def op2_bag_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near-duplicate class of every document."""
+    found = bag_minhash.classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select(F.col("id").alias("doc_id"), "class_id", "class_size", "kept")
+
+
 def op4_secret_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of every document with linked weak parts."""
     found = secret_links.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -62,6 +68,11 @@ def op7_trie_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie_bpe.digests(table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op9_block_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without passages that occur earlier."""
+    return block_anchors.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op10_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Statistics and verdict of every document by a decision list learnt from labels."""
     docs = table(spark, sf_dir, "documents")
@@ -73,10 +84,12 @@ def op10_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     all_ = (
+        op2_bag_minhash,
         op4_secret_links,
         op5_scaled_sketch,
         op6_bounded_packing,
         op7_trie_bpe,
+        op9_block_anchors,
         op10_decision_list,
     )
     return {f.__name__: f for f in all_}
