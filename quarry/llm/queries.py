@@ -7,10 +7,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import bag_minhash, block_anchors, fingerprints, packing, quality_rules, secret_links, trie_bpe
+from quarry.llm import bag_minhash, block_anchors, fingerprints, packing, quality_rules, secret_links, trie_bpe, warc
 from quarry.llm.common import table, text_of
 
 
+def op1_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages archived as WARC records with revisits, and what the reader gets back."""
+    found = warc.archived(table(spark, sf_dir, "pages")).where("kind <> 'gap'")
+    return found.select(
+        warc.page_number(F.col("record_id")).alias("page_id"),
+        "payload_bytes",
+        F.col("digest").alias("payload_digest"),
+        F.col("kind").alias("record_type"),
+        warc.page_number(F.col("refers_to")).alias("refers_to"),
+    )
+
+
 def op2_bag_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The near-duplicate class of every document."""
     found = bag_minhash.classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -84,6 +96,7 @@ def op10_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     all_ = (
+        op1_warc_salvage,
         op2_bag_minhash,
         op4_secret_links,
         op5_scaled_sketch,
@@ -95,5 +108,15 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in all_}
 
 
+OP1 = """
+with p as (select page_id, strlen(coalesce(html, '')) as payload_bytes, sha256(coalesce(html, '')) as payload_digest from pages),
+heads as (select payload_digest, min(page_id) as head from p where payload_bytes >= 100 group by 1)
+select page_id, payload_bytes, payload_digest,
+  case when head <> page_id then 'revisit' else 'response' end as record_type,
+  case when head <> page_id then head end as refers_to
+from p left join heads using (payload_digest)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_warc_salvage": OP1}
