@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import bag_minhash, block_anchors, fingerprints, packing, quality_rules, secret_links, trie_bpe, warc
+from quarry.llm import bag_minhash, block_anchors, fingerprints, packing, quality_bayes, quality_rules, secret_links, trie_bpe, warc
 from quarry.llm.common import table, text_of
 
 
@@ -29,6 +29,12 @@ def op2_bag_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "class_id", "class_size", "kept")
 
 
+def op3_quality_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The posteriors of low quality and toxicity of every document."""
+    docs = table(spark, sf_dir, "documents")
+    return quality_bayes.posteriors(docs, quality_bayes.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op4_secret_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of every document with linked weak parts."""
     found = secret_links.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -98,6 +104,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     all_ = (
         op1_warc_salvage,
         op2_bag_minhash,
+        op3_quality_bayes,
         op4_secret_links,
         op5_scaled_sketch,
         op6_bounded_packing,
