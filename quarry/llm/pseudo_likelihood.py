@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from quarry.llm.bag_minhash import _blocks, word_hashes
 from quarry.llm.block_anchors import _mixed
-from quarry.llm.common import text_of, words_of
+from quarry.llm.common import stored, text_of, words_of
 
 CLASS = 64
 FREQUENT, BUCKETS = 48 * CLASS, 16 * CLASS
@@ -141,14 +141,14 @@ def log_probabilities(w: Weights, ids: np.ndarray, around: np.ndarray, step: int
 class Learner:
     """Adagrad steps on masked positions."""
 
-    def __init__(self, w: Weights) -> None:
-        self.w = w
-        self.seen = {k: np.full(s, 0.1, np.float32) for k, s in SHAPES.items()}
+    def __init__(self, w: Weights, rate: float = RATE) -> None:
+        self.w, self.rate = w, rate
+        self.seen = {k: np.full(s, 1e-6, np.float32) for k, s in SHAPES.items()}
         self.positions = 0
 
     def _move(self, k: str, g: np.ndarray, at=slice(None)) -> None:
         self.seen[k][at] += g * g
-        self.w[k][at] -= RATE * g / np.sqrt(self.seen[k][at])
+        self.w[k][at] -= self.rate * g / np.sqrt(self.seen[k][at])
 
     def step(self, ids: np.ndarray, around: np.ndarray) -> None:
         w, n = self.w, len(ids)
@@ -180,8 +180,9 @@ class Learner:
 def counted(docs: DataFrame, text: str) -> Vocabulary:
     """The most frequent words of all documents; the driver receives at most ``FREQUENT``."""
     words = docs.select(F.explode(F.transform(words_of(text_of(text)), lambda x: F.xxhash64(x))).alias("h")).groupBy("h").agg(F.count("*").alias("n"))
+    words = stored(words, "counts")
     top = words.orderBy(F.desc("n"), "h").limit(FREQUENT).collect()
-    total = docs.select(F.size(words_of(text_of(text))).alias("n")).agg(F.sum("n")).first()[0] or 0
+    total = words.agg(F.sum("n")).first()[0] or 0
     return Vocabulary([(r["h"], r["n"]) for r in top], total)
 
 
@@ -197,7 +198,7 @@ def train(docs: DataFrame, text: str = "text", rounds: int = ROUNDS) -> tuple[Vo
 
         def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             v, first = shared.value
-            learner = Learner(unflat(first))
+            learner = Learner(unflat(first), RATE / (1 + turn))
             held_ids, held_around = [], []
             for batch in batches:
                 for _, _, words, sizes in _blocks(batch, "words"):
@@ -226,8 +227,7 @@ def train(docs: DataFrame, text: str = "text", rounds: int = ROUNDS) -> tuple[Vo
 
         def mean(t: pa.Table) -> pa.Table:
             n = t["n"].to_numpy().astype(np.float64)
-            order = np.argsort([hash(w.as_py()[:64]) for w in t["w"]]) if False else np.arange(len(n))
-            total = sum(n[k] * np.frombuffer(t["w"][int(k)].as_buffer(), np.float32).astype(np.float64) for k in order)
+            total = sum(k * np.frombuffer(w.as_buffer(), np.float32).astype(np.float64) for k, w in zip(n, t["w"], strict=True))
             return pa.table({"block": t["block"].slice(0, 1), "w": pa.array([(total / n.sum()).astype(np.float32).tobytes()], pa.binary())})
 
         rows = hashes.mapInArrow(work, "block int, n long, w binary").groupBy("block").applyInArrow(mean, "block int, w binary").collect()

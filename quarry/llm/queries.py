@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import bag_minhash, block_anchors, fingerprints, packing, quality_bayes, quality_rules, secret_links, trie_bpe, warc
+from quarry.llm import bag_minhash, block_anchors, fingerprints, packing, pseudo_likelihood, quality_bayes, quality_rules, secret_links, trie_bpe, warc
 from quarry.llm.common import table, text_of
 
 
@@ -86,6 +86,12 @@ def op7_trie_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie_bpe.digests(table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op8_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pseudo-log-likelihood of every document under a model of all documents."""
+    docs = table(spark, sf_dir, "documents")
+    return pseudo_likelihood.scores(docs, pseudo_likelihood.train(docs))
+
+
 def op9_block_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is left of every document without passages that occur earlier."""
     return block_anchors.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -109,10 +115,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op5_scaled_sketch,
         op6_bounded_packing,
         op7_trie_bpe,
+        op8_pseudo_likelihood,
         op9_block_anchors,
         op10_decision_list,
     )
-    return {f.__name__: f for f in all_}
+    import corpus_pipeline
+
+    return {f.__name__: f for f in all_} | {"pipeline": corpus_pipeline.run}
 
 
 OP1 = """
@@ -126,4 +135,6 @@ from p left join heads using (payload_digest)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc_salvage": OP1}
+    import corpus_pipeline
+
+    return ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}) | {"op1_warc_salvage": OP1}
