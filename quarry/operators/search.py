@@ -2,7 +2,7 @@
 
 Scores: 1000 for the symbol itself, 900 for its start, 800 for a part of it; else 700 and the
 similarity of the symbol if that is over 60, or 500 and that of the name's best part if that is
-over 60, whichever is more. Distinct pairs of symbol and name are scored once.
+over 60, whichever is more. Each distinct symbol and each distinct name is scored once.
 """
 
 from __future__ import annotations
@@ -17,20 +17,25 @@ from quarry.operators.catalog import head, of_language
 LEAST = 60.0
 
 
-def score(query: str, symbol: Column, name: Column) -> Column:
-    """The score of a symbol and a name, both in lower case, for a query; 0 for none."""
-    q = F.lit(query.lower())
-    by_symbol, by_name = ratio(q, symbol), F.when(F.coalesce(name, F.lit("")) != "", partial_ratio(q, name))
-    near = F.greatest(F.when(by_symbol > LEAST, 700 + by_symbol).otherwise(F.lit(0.0)), F.when(by_name > LEAST, 500 + by_name).otherwise(F.lit(0.0)))
-    return F.when(symbol == q, F.lit(1000.0)).when(F.startswith(symbol, q), F.lit(900.0)).when(F.contains(symbol, q), F.lit(800.0)).otherwise(near)
+def by_symbol(query: str, symbol: Column) -> Column:
+    """The score of a symbol in lower case, 0 for none."""
+    q, near = F.lit(query.lower()), ratio(F.lit(query.lower()), symbol)
+    fuzzy = F.when(near > LEAST, 700 + near).otherwise(F.lit(0.0))
+    return F.when(symbol == q, F.lit(1000.0)).when(F.startswith(symbol, q), F.lit(900.0)).when(F.contains(symbol, q), F.lit(800.0)).otherwise(fuzzy)
+
+
+def by_name(query: str, name: Column) -> Column:
+    """The score of a name in lower case, 0 for none and for no name."""
+    near = partial_ratio(F.lit(query.lower()), name)
+    return F.when(F.coalesce(name, F.lit("")) == "", F.lit(0.0)).when(near > LEAST, 500 + near).otherwise(F.lit(0.0))
 
 
 def scored(catalog: DataFrame, query: str) -> DataFrame:
-    """Rows of the catalog with a score over 0."""
-    pairs = catalog.select("symbol", "name").distinct()
-    pairs = pairs.withColumn("score", score(query, F.lower("symbol"), F.lower("name"))).where("score > 0")
-    pairs = pairs.select(F.col("symbol").alias("_symbol"), F.col("name").alias("_name"), "score")
-    return catalog.join(pairs, (catalog["symbol"] == pairs["_symbol"]) & catalog["name"].eqNullSafe(pairs["_name"])).drop("_symbol", "_name")
+    """Rows of the catalog with a score over 0. Any symbol's score is above any name's."""
+    symbols = catalog.select(F.col("symbol").alias("_symbol")).distinct().withColumn("_by_symbol", by_symbol(query, F.lower("_symbol")))
+    names = catalog.select(F.col("name").alias("_name")).distinct().withColumn("_by_name", by_name(query, F.lower("_name")))
+    df = catalog.join(symbols, catalog["symbol"] == symbols["_symbol"]).join(names, catalog["name"].eqNullSafe(names["_name"]))
+    return df.withColumn("score", F.greatest("_by_symbol", "_by_name")).where("score > 0").drop("_symbol", "_name", "_by_symbol", "_by_name")
 
 
 def search(catalog: DataFrame, query: str, limit: int = 5, language: str = "auto") -> DataFrame:
