@@ -240,14 +240,14 @@ def _hits(df: DataFrame) -> DataFrame:
     return rounded(df.select("ord", "symbol", "name", "score"))
 
 
-@query(_found("brand#13", 20))
+@query(_found("brand#13", 5))
 def search_exact(spark, d):
-    return _hits(search(A.parts(spark, d), "Brand#13", 20))
+    return _hits(search(A.parts(spark, d), "Brand#13", 5))
 
 
-@query(_found("brand#1", 100))
+@query(_found("brand#1", 50))
 def search_prefix(spark, d):
-    return _hits(search(A.parts(spark, d), "brand#1", 100))
+    return _hits(search(A.parts(spark, d), "brand#1", 50))
 
 
 @query(_found("rand#2", 20))
