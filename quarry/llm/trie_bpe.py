@@ -270,17 +270,16 @@ class Encoder:
 
     def whole(self, texts: Iterable[str]) -> Iterator[tuple[int, list]]:
         """The place and all ids of each text."""
-        place, ids = -1, []
+        place, parts = -1, []
         for block in self.blocks(texts):
-            for k, more in block:
-                if k == place:
-                    ids = self.kept(self.joined([ids, more]))
-                    continue
-                if place >= 0:
-                    yield place, ids
-                place, ids = k, more
+            for k, ids in block:
+                if k != place and place >= 0:
+                    yield place, parts[0] if len(parts) == 1 else self.joined(parts)
+                if k != place:
+                    place, parts = k, []
+                parts.append(ids)
         if place >= 0:
-            yield place, ids
+            yield place, parts[0] if len(parts) == 1 else self.joined(parts)
 
 
 @functools.lru_cache(maxsize=2)

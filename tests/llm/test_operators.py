@@ -1,0 +1,338 @@
+"""Operators over whole small tables against plain Python."""
+
+import collections
+import hashlib
+import random
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from quarry.llm import bag_minhash, block_anchors, fingerprints, packing, pseudo_likelihood, quality_bayes, quality_rules, queries, secret_links, trie_bpe
+from tests.llm import brute
+from tests.llm.conftest import WORDS, edited, prose
+
+tokenizers = pytest.importorskip("tokenizers")
+key = lambda r: tuple((v is None, v) for v in r)
+
+
+def order(found):
+    return sorted((tuple(r) for r in found), key=key)
+
+
+# Quality rules
+
+
+def test_statistics(docs, rows):
+    df, s, r = quality_rules.judged(docs, [])
+    got = df.select("doc_id", f"{s}.n_words", f"{s}.word_chars", f"{s}.n_symbols", f"{s}.n_dup_lines", f"{s}.n_repeat_words", f"{r}.base_failed").collect()
+    assert order(got) == order((i, *brute.statistics(t)) for i, t in rows)
+    assert set(docs.columns) < set(df.columns)
+
+
+def test_decision_list_learns_thresholds():
+    r = np.random.default_rng(0)
+    table = {n: r.random(900) for n in quality_rules.FEATURES}
+    bad = (table["symbols"] > 0.8) | ((table["capitals"] > 0.7) & (table["marks"] > 0.6))
+    rules = quality_rules.learn_rules(table, bad)
+    hit = np.zeros(900, bool)
+    for rule in rules:
+        hit |= quality_rules._covers(rule, table, 900)
+    assert (hit == bad).mean() > 0.97 and all(len(rule) <= quality_rules.MAX_CONDITIONS for rule in rules)
+    assert quality_rules.learn_rules(table, np.zeros(900, bool)) == []
+
+
+def test_rules_without_labels_keep_by_base(spark, docs, labels):
+    assert quality_rules.learn(docs, labels.limit(0)) == [] and quality_rules.learn(docs.limit(0), labels) == []
+    rule = (quality_rules.Condition("n_words", False, 10.0),)
+    s = quality_rules.statistics(F.lit("one two"))
+    assert spark.range(1).select(quality_rules.verdict(s, [rule]), quality_rules.verdict(s, [])).first()[:] == (1, 0)
+
+
+# Secrets
+
+
+def test_base_spans(docs, rows, spark):
+    odd = [(100, "token: secret=abcdefgh12 PASSWORD='x' api-key apikey=12345678"), (101, "token=" * 40 + "abcdefghijk"), (102, "AKIA" * 3 + "é" + "a0" * 40), (103, "secret: = abcdefghijkl secret = \"token\": \"abcdefghijk")]
+    df = docs.select("doc_id", "text").union(spark.createDataFrame(odd, "doc_id long, text string"))
+    found = secret_links.scan(df)
+    size = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k))
+    got = found.select("doc_id", size(0), size(1), size(2), F.sha2(secret_links.listed(F.col("base")), 256)).collect()
+    assert order(got) == order((i, *brute.secrets(t)) for i, t in [*rows, *odd])
+
+
+def test_many_matches_have_right_places(spark):
+    text = "é".join(f"token={k:08d}" for k in range(500))
+    r = secret_links.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert [text[s.start : s.end] for s in r.base] == [f"token={k:08d}" for k in range(500)]
+
+
+def test_links_need_complements(docs):
+    got = {r.doc_id: r.spans for r in secret_links.scan(docs).select("doc_id", secret_links.listed(F.col("links")).alias("spans")).collect()}
+    assert got[66] == "" and got[64] == ""
+    assert got[65].startswith("ident:2:13,opaque:14:44,endpoint:49:")
+
+
+def test_links_keep_scope(spark):
+    near, far = " " * 200, " " * 300
+    rows = [(1, f"user: bob{near}{'Zx9' * 10}"), (2, f"user: bob{far}{'Zx9' * 10}"), (3, f"{'Zx9' * 10} {'Yx8' * 10}"), (4, f"https://a.b/c{near}{'Zx9' * 10}{near}login=me1")]
+    got = {r.doc_id: [s.kind for s in r.links] for r in secret_links.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: [3, 4], 2: [], 3: [], 4: [5, 4, 3]}
+
+
+def test_redaction(docs, rows):
+    got = {r.doc_id: r for r in secret_links.redacted(docs, length="n_chars").where("doc_id >= 60").collect()}
+    assert got[64].text == "[SECRET] [SECRET]\" x" and got[64].n_chars == len(got[64].text)
+    assert got[65].text == "é [SECRET] [SECRET] see [SECRET] end" and got[66].text == "Zx9" * 10 + " alone"
+    out = secret_links.redacted(docs, length="n_chars")
+    assert out.count() == len(rows) and out.columns == docs.columns
+    assert secret_links.redacted(docs.limit(0)).count() == 0
+
+
+# Fingerprints
+
+
+def words(t):
+    return brute.WORD.findall(t or "")
+
+
+def test_next_and_edited(docs, rows, spark):
+    plain = [r for r in {(i, t) for i, t in rows if i is not None and i != 31}]
+    df = spark.createDataFrame(plain, "doc_id long, text string").repartition(4)
+    got = fingerprints.with_next(df, "doc_id", "text", fingerprints.sketch, "fp")
+    e = fingerprints.edited(F.coalesce("text", F.lit("")), F.col("fp.next_text"))
+    got = {r[0]: r[1:] for r in got.select("doc_id", F.length(F.coalesce("text", F.lit(""))), F.sha2(e, 256)).collect()}
+    assert got == brute.edits(plain)
+    whole = fingerprints.with_next(docs, "doc_id", "text", fingerprints.sketch, "fp")
+    assert whole.count() == len(rows) and whole.where("fp.next is null").count() == 0
+    one = fingerprints.with_next(df.where("doc_id = 5"), "doc_id", "text", fingerprints.sketch, "fp").first()
+    assert one.fp.own == one.fp.next
+    none = fingerprints.with_next(docs.where("doc_id is null"), "doc_id", "text", fingerprints.sketch, "fp")
+    assert none.count() == 2 and fingerprints.with_next(df.limit(0), "doc_id", "text", fingerprints.sketch, "fp").count() == 0
+
+
+def test_next_over_many_groups(spark):
+    ids = random.Random(3).sample(range(-(10**12), 10**12), 3000)
+    df = spark.createDataFrame([(i, str(i)) for i in ids], "doc_id long, text string").repartition(8)
+    got = {r.doc_id: r.fp.next_text for r in fingerprints.with_next(df, "doc_id", "text", F.length, "fp").collect()}
+    desc = sorted(ids, reverse=True)
+    assert got == {i: str(desc[(k + 1) % len(desc)]) for k, i in enumerate(desc)}
+
+
+def test_sketch_estimates(spark):
+    base = prose(7, 4000)
+    rows = [(k, base, edited(base, k, s)) for k, s in enumerate((0.0, 0.01, 0.05, 0.2))] + [(9, "", ""), (10, "a b", "a b"), (11, "a b", "")]
+    df = spark.createDataFrame(rows, "k long, a string, b string").select("k", "a", "b", fingerprints.sketch(F.col("a")).alias("x"), fingerprints.sketch(F.col("b")).alias("y"))
+    df = df.select("*", fingerprints.likeness(F.col("x"), F.col("y")).alias("near"), fingerprints.containment(F.col("x"), F.col("y")).alias("within"), fingerprints.merged(F.array("x", "y")).alias("m"))
+    for r in df.collect():
+        sets = [{tuple(words(t)[k : k + 5]) for k in range(max(1, len(words(t)) - 4))} if words(t) else set() for t in (r.a, r.b)]
+        union = len(sets[0] | sets[1])
+        assert r.near == pytest.approx(len(sets[0] & sets[1]) / union if union else 1.0, abs=0.05)
+        assert r.m == sorted(set(r.x) | set(r.y)) and (r.a != r.b or r.near == 1.0)
+
+
+# Tokens
+
+
+def test_bpe(docs, rows):
+    k = tokenizers.Tokenizer.from_file(queries.vocabulary())
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    want = []
+    for i, t in rows:
+        ids = k.encode(t or "", add_special_tokens=False).ids
+        want.append((i, len(ids), sha(" ".join(map(str, ids))), sha(k.decode(ids, skip_special_tokens=False))))
+    assert order(trie_bpe.digests(docs, queries.vocabulary()).collect()) == order(want)
+    assert trie_bpe.digests(docs.limit(0), queries.vocabulary()).count() == 0
+
+
+def test_encoder_on_odd_texts(monkeypatch):
+    monkeypatch.setattr(trie_bpe, "KEPT", 50)
+    monkeypatch.setattr(trie_bpe, "BLOCK", 200)
+    k, e = tokenizers.Tokenizer.from_file(queries.vocabulary()), trie_bpe.Encoder(queries.vocabulary())
+    r = random.Random(1)
+    odd = ["".join(r.choice("aabcdest ''s't're\n\t\x1c\x85　ΣςİßéÉ́ñ中文🙂९½#$%_<|endoftext|>") for _ in range(r.randint(0, 70))) for _ in range(600)]
+    odd += ["<|endoftext|> x<|startoftext|>", "a" * 900, "THE<|endoftext|>'s", "ab " * 500]
+    assert [ids for _, ids in e.whole(odd)] == [k.encode(t, add_special_tokens=False).ids for t in odd]
+    b = packing.ByteEncoder(queries.vocabulary())
+    assert [np.frombuffer(x, "<u4").tolist() for _, x in b.whole(odd)] == [k.encode(t, add_special_tokens=False).ids for t in odd]
+
+
+def test_packing(docs, rows):
+    k = tokenizers.Tokenizer.from_file(queries.vocabulary())
+    want = collections.Counter()
+    for i, t in rows:
+        x = np.array([*k.encode(t or "", add_special_tokens=False).ids, 2], "<u4")
+        want[i, len(x), x.tobytes()] += 1
+    got = packing.pack(docs, queries.vocabulary()).collect()
+    pieces, filled = collections.defaultdict(list), collections.defaultdict(list)
+    for r in got:
+        pieces[r.doc_id, r.doc_tokens].append(r)
+        filled[r.sequence_id].append((r.offset, r.length))
+    for (i, n, data), times in want.items():
+        covered = collections.Counter()
+        for r in pieces[i, n]:
+            if zlib.crc32(data[4 * r.start : 4 * (r.start + r.length)]) == r.ids_crc32:
+                covered.update(range(r.start, r.start + r.length))
+        assert all(covered[p] >= times for p in range(n))
+    assert sum(r.length for r in got) == sum(n * t for (_, n, _), t in want.items())
+    for spots in filled.values():
+        end = 0
+        for offset, length in sorted(spots):
+            assert offset == end and length > 0
+            end += length
+        assert end <= packing.CAPACITY
+    assert packing.pack(docs.limit(0), queries.vocabulary()).count() == 0
+
+
+def test_packer_bounds_its_windows():
+    r, p = random.Random(2), packing.Packer(0)
+    used = collections.Counter()
+    for _ in range(3000):
+        n = r.choice([1, 5, 300, 900, 4096, 9000])
+        spots = list(p.place(n))
+        assert sum(s[1] for s in spots) == n and len(p.open) <= packing.WINDOWS
+        for _, length, sequence, offset in spots:
+            assert offset == used[sequence]
+            used[sequence] += length
+    assert sum(v < packing.CAPACITY for v in used.values()) <= packing.WINDOWS
+    spots = packing.merge([(4000, 0), (50, 1), (100, 2), (46, 3)])
+    assert [w for w, _ in spots] == [0, 0, 1, 0]
+
+
+# Copies
+
+
+def classes_of(rows, near=0.8):
+    bags = []
+    for _, t in rows:
+        w = words(t)
+        bags.append(collections.Counter(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if w else None)
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in range(len(rows)):
+        for b in range(a):
+            if bags[a] and bags[b]:
+                same = sum((bags[a] & bags[b]).values())
+                if same >= near * (sum(bags[a].values()) + sum(bags[b].values()) - same):
+                    root[find(a)] = find(b)
+    groups = collections.defaultdict(list)
+    for k, (i, _) in enumerate(rows):
+        groups[find(k)].append(i)
+    return sorted(([min((x for x in g if x is not None), default=None), len(g)] for g in groups.values()), key=key)
+
+
+def test_near_duplicate_classes(docs, rows):
+    got = bag_minhash.classes(docs).collect()
+    assert len(got) == len(rows)
+    assert sorted(([r.class_id, r.class_size] for r in got if r.kept), key=key) == classes_of(rows)
+    kept = bag_minhash.deduplicated(docs)
+    assert kept.columns == docs.columns and order(kept.select("doc_id").collect()) == order((r.id,) for r in got if r.kept)
+    assert bag_minhash.classes(docs.limit(0)).count() == 0
+
+
+def test_chains_and_stars_of_copies(spark):
+    """Copies that each differ from one origin too much to link with each other directly."""
+    base = prose(3, 400).split()
+    rows = [(100, " ".join(base))]
+    for k in range(40):
+        w = list(base)
+        w[10 * k % 390 : 10 * k % 390 + 22] = [f"new{k}x{j}" for j in range(22)]
+        rows.append((k, " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = bag_minhash.classes(df).where("kept").collect()
+    assert [[r.class_id, r.class_size] for r in got] == classes_of(rows)
+
+
+def test_signatures_estimate_weighted_similarity():
+    r = np.random.default_rng(5)
+    a, b = r.integers(0, 9, 300), r.integers(0, 9, 300)
+    seeds = r.integers(0, 2**63, 300).astype(np.uint64)
+    doc, seed, count = np.concatenate([np.zeros(300, int), np.ones(300, int)]), np.concatenate([seeds, seeds]), np.concatenate([a, b])
+    has = count > 0
+    sig = bag_minhash.signatures(doc[has], seed[has], count[has], 2, 4000)
+    want = np.minimum(a, b).sum() / np.maximum(a, b).sum()
+    assert (sig[0] == sig[1]).mean() == pytest.approx(want, abs=0.03)
+
+
+# Repeated passages
+
+
+def test_repeated_passages(docs, rows):
+    plain = [(i, t) for i, t in rows if i is not None and i != 31]
+    got = {r.doc_id: (r[1], r[2], r[3]) for r in block_anchors.remove_repeats(docs.select("doc_id", "text"), groups=5).where("doc_id <> 31").collect()}
+    assert got == brute.repeats(plain)
+    assert len(got) == len(plain)
+    out = block_anchors.remove_repeats(docs, groups=3, whole=True)
+    assert out.count() == len(rows) and set(docs.columns) - {"text"} < set(out.columns)
+    text = {r.doc_id: r[-1] for r in out.where("doc_id in (0, 40, 41)").collect()}
+    given = dict(rows)
+    assert text[0] == given[0] and text[40] == given[40] and 50 < len(text[41]) < len(given[41])
+    assert block_anchors.remove_repeats(docs.limit(0)).count() == 0
+
+
+def test_random_repeats(spark):
+    r = random.Random(8)
+    pool = [[r.choice(WORDS) for _ in range(r.randrange(15, 70))] for _ in range(25)]
+    rows = [(k, " ".join(w for _ in range(r.randrange(1, 7)) for w in (r.choice(pool) if r.random() < 0.7 else [f"u{r.random()}" for _ in range(30)]))) for k in range(80)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = {x.doc_id: (x.n_words, x.n_removed, x.kept_sha256) for x in block_anchors.remove_repeats(df, groups=7).collect()}
+    assert got == brute.repeats(rows)
+
+
+# Models
+
+
+def test_quality_bayes(spark, docs, labels, rows):
+    got = quality_bayes.posteriors(docs, quality_bayes.train(docs, labels)).collect()
+    assert len(got) == len(rows) and all(0 <= r.posterior_low <= 1 and r.keep for r in got)
+    r = random.Random(4)
+    texts = [(k, prose(k, 60) + (" vile" * 3 if k % 5 == 0 else "") + (" ###" * 80 if k % 7 == 0 else ""), f"s{r.randrange(3)}", "en") for k in range(600)]
+    df = spark.createDataFrame(texts, "doc_id long, text string, source string, lang string")
+    marks = spark.createDataFrame([(k, int(k % 7 != 0), int(k % 5 == 0)) for k in range(400)], "doc_id long, quality int, toxic int")
+    held = [x for x in quality_bayes.posteriors(df, quality_bayes.train(df, marks)).collect() if x.doc_id >= 400]
+    right = [(x.posterior_low > 0.5) == (x.doc_id % 7 == 0) and (x.posterior_toxic > 0.5) == (x.doc_id % 5 == 0) for x in held]
+    assert np.mean(right) > 0.95
+    assert quality_bayes.posteriors(df.limit(0), quality_bayes.train(df, marks)).count() == 0
+
+
+def test_strength_shrinks_by_spread(spark):
+    alike = spark.createDataFrame([(100.0, 20.0 + k % 2) for k in range(30)], "n double, s double")
+    apart = spark.createDataFrame([(100.0, 90.0 * (k % 2)) for k in range(30)], "n double, s double")
+    assert quality_bayes.strength(alike, "n", "s", 0.205) > 1000 > 10 > quality_bayes.strength(apart, "n", "s", 0.45)
+    assert quality_bayes.strength(alike.limit(0), "n", "s", 0.5) == 100.0
+
+
+def test_pseudo_likelihood(spark, docs, rows):
+    model = pseudo_likelihood.train(docs, rounds=1)
+    got = pseudo_likelihood.scores(docs, model).collect()
+    assert order((r.doc_id, r.n_tokens) for r in got) == order((i, len(words(t))) for i, t in rows)
+    by = {r.doc_id: r for r in got}
+    assert by[51].log_likelihood == 0.0 and by[51].mean_log_probability is None and by[54].log_likelihood == by[55].log_likelihood < 0
+    assert pseudo_likelihood.scores(docs.limit(0), model).count() == 0
+
+
+def test_network_learns_from_both_sides():
+    r = np.random.default_rng(0)
+    a = r.integers(0, 30, 20_000)
+    ids = np.stack([a, 100 + (a * 7) % 30, 200 + a], 1).ravel()  # the middle follows from either side
+    sizes = np.full(200, 300)
+    around = pseudo_likelihood.contexts(ids, sizes)
+    assert (around[0] == [pseudo_likelihood.PAD, pseudo_likelihood.PAD, ids[1], ids[2]]).all() and around[299][2] == pseudo_likelihood.PAD
+    counts = np.bincount(ids, minlength=pseudo_likelihood.IDS).astype(float)
+    learner = pseudo_likelihood.Learner(pseudo_likelihood.first_weights(counts))
+    before = pseudo_likelihood.log_probabilities(learner.w, ids, around).mean()
+    for _ in range(6):
+        for k in range(0, len(ids), 4096):
+            learner.step(ids[k : k + 4096], around[k : k + 4096])
+    after = pseudo_likelihood.log_probabilities(learner.w, ids, around).mean()
+    assert after > before + 1.0
+    p = pseudo_likelihood.log_probabilities(learner.w, np.arange(pseudo_likelihood.IDS), np.repeat(around[5:6], pseudo_likelihood.IDS, 0))
+    assert np.exp(p.astype(float)).sum() == pytest.approx(1.0, abs=1e-3)
+    w = pseudo_likelihood.unflat(pseudo_likelihood.flat(learner.w))
+    assert all((w[k] == learner.w[k]).all() for k in w)
