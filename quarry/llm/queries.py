@@ -134,7 +134,20 @@ from p left join heads using (payload_digest)
 """
 
 
+OP9 = r"""
+with d as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as ws from documents),
+starts as (select doc_id, unnest(range(1, len(ws) - 18)) as p, unnest(list_transform(range(1, len(ws) - 18), lambda i: sha256(array_to_string(ws[i:i + 19], ' ')))) as t
+  from d where len(ws) >= 20),
+windows as (select doc_id, p, row_number() over (partition by t order by doc_id, p) as k from starts),
+gone as (select distinct doc_id, unnest(range(p, p + 20)) as q from windows where k > 1),
+words as (select doc_id, unnest(range(1, len(ws) + 1)) as q, unnest(ws) as w from d),
+kept as (select doc_id, string_agg(w, ' ' order by q) as t, count(*) as n from words anti join gone using (doc_id, q) group by doc_id)
+select doc_id, cast(len(ws) as bigint) as n_words, cast(len(ws) - coalesce(n, 0) as bigint) as n_removed, sha256(coalesce(t, '')) as kept_sha256
+from d left join kept using (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     import corpus_pipeline
 
-    return ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}) | {"op1_warc_salvage": OP1}
+    return ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}) | {"op1_warc_salvage": OP1, "op9_block_anchors": OP9}
