@@ -8,11 +8,15 @@ process stops once it passes the largest register, so a signature costs about as
 there are shingles and registers. Two registers agree with a chance equal to the weighted
 Jaccard similarity.
 
-Equal texts (same words) collapse first. Of each band's bucket the smallest member is compared
-with all others by their exact multisets; linked members get the smallest one's label. Buckets
-that still hold several labels go on, with one, two, four, ... further members compared with
-those of other labels, until each member was: no pair of different labels is left out, and no
-pair within a label is made. Links and labels stay in tables; the driver sees counts alone.
+Equal texts (same words) collapse first. Of each band's bucket one pivot, the member that meets
+most others in all its buckets (the origin of a group of copies, as a rule), is compared with all
+others by their exact multisets; linked members share a label. Buckets that still hold several
+labels go on: two more pivots from outside the first one's label, then four, sixteen, ... further
+members at once, each compared with members of other labels, until every member was a pivot. A
+pair is skipped only within a label, if one bag is too small for a link with the other, or if
+its distances to a common pivot differ by more than a link allows (weighted Jaccard distance is a
+metric), so no link between labels is lost. Links and labels stay in tables; the driver sees
+counts alone.
 
 Defined results: a document without words (null text too) is a class of its own; one to four
 words make one shingle; a class is named by its smallest id, null ids last; of rows that are
@@ -31,7 +35,7 @@ from pyspark.sql import functions as F
 from quarry.llm.block_anchors import _doubled, _mixed
 from quarry.llm.common import NEAR, SHINGLE_WORDS, checkpointed, fresh, let, stored, text_of, words_of
 
-BANDS, ROWS = 20, 5
+BANDS, ROWS = 40, 8
 REGISTERS = BANDS * ROWS
 #: Words in a block of documents that are signed together.
 BLOCK_WORDS = 1 << 20
@@ -165,28 +169,23 @@ def overlap(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray])
     return common / (int(a[1].sum()) + int(b[1].sum()) - common)
 
 
-def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, ident: str, text: str, near: float) -> DataFrame:
-    """The pairs (a, p) of similarity near or more.
+def verified(pairs: DataFrame, bodies: DataFrame) -> DataFrame:
+    """The pairs (a, p) with their similarity s, held; bodies are the texts of representatives.
 
     Members of a pivot are dealt out in shares, each with a copy of the pivot's text.
     """
-    spark = docs.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = 4 * int(bodies.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     shares = pairs.groupBy("p").agg(F.ceil(F.count("*") / SHARE).cast("int").alias("shares"))
     spread = pairs.join(shares, "p").withColumn("share", F.pmod(F.xxhash64("a"), F.col("shares")).cast("int"))
-    task = F.pmod(F.xxhash64("p", "share"), F.lit(4 * n)).cast("int").alias("task")
+    task = F.pmod(F.xxhash64("p", "share"), F.lit(n)).cast("int").alias("task")
     members = spread.select(F.col("a").alias("rep"), task, "p")
     pivots = shares.select("p", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share")).select(F.col("p").alias("rep"), task, "p")
-    where = members.unionByName(pivots).join(reps.select("rep", "id", "digest"), "rep")
-    body = docs.select(F.col(ident).cast("long").alias("id"), text_of(text).alias("t"))
-    held = where.join(body, where["id"].eqNullSafe(body["id"])).where(digest_of(F.col("t")) == F.col("digest")).select("task", "p", "rep", "t")
-    held = held.repartition(4 * n, "task").select("task", "p", "rep", word_hashes(F.col("t")).alias("words"))
+    held = members.unionByName(pivots).join(bodies, "rep").repartition(n, "task").select("task", "p", "rep", word_hashes(F.col("t")).alias("words"))
 
     def compare(t: pa.Table) -> pa.Table:
         rep, p = t["rep"].to_numpy(), t["p"].to_numpy()
         lists = t["words"].combine_chunks()
         offsets, values = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False).view(np.uint64)
-        known: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         row_of = {int(r): k for k, r in enumerate(rep)}
 
         def bag(r: int) -> tuple[np.ndarray, np.ndarray]:
@@ -194,15 +193,14 @@ def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, ident: str, tex
             w = values[offsets[k] : offsets[k + 1]]
             return shingles(w, np.array([len(w)]))[1:]
 
-        out = []
+        out, last, own = [], None, None
         for pivot, a in sorted({(int(y), int(x)) for x, y in zip(rep, p, strict=True) if x != y}):
-            if pivot not in known:
-                known = {pivot: bag(pivot)}
-            if overlap(bag(a), known[pivot]) >= near:
-                out.append((a, pivot))
-        return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "p": pa.array([y for _, y in out], pa.int64())})
+            if pivot != last:
+                last, own = pivot, bag(pivot)
+            out.append((a, pivot, overlap(bag(a), own)))
+        return pa.table({"a": pa.array([x[0] for x in out], pa.int64()), "p": pa.array([x[1] for x in out], pa.int64()), "s": pa.array([x[2] for x in out], pa.float64())})
 
-    return checkpointed(held.groupBy("task").applyInArrow(compare, "a long, p long"))
+    return checkpointed(held.groupBy("task").applyInArrow(compare, "a long, p long, s double"))
 
 
 def components(links: DataFrame, labels: DataFrame | None = None) -> DataFrame:
@@ -237,31 +235,60 @@ def classes(docs: DataFrame, ident: str = "doc_id", text: str = "text", near: fl
     # A digest's representative is the row of the smallest id.
     order = F.struct(F.col("id").isNull(), "id", "row")
     words = rows.where("n_words > 0")
-    reps = stored(words.groupBy("digest").agg(F.min_by(F.struct("row", "id", "bands"), order).alias("r"), F.count("*").alias("n")).select(F.col("r.row").alias("rep"), "r.id", "digest", "n", "r.bands"), "representatives")
-    members = reps.select("rep", F.explode("bands").alias("bucket"))
-    sizes = members.groupBy("bucket").agg(F.min("rep").alias("p"), F.count("*").alias("size")).where("size > 1")
-    members = stored(members.join(sizes, "bucket").select("bucket", "rep", "p", "size"), "buckets")
-    links = verified(members.where("rep <> p").select(F.col("rep").alias("a"), "p").distinct(), reps, docs, ident, text, near)
-    labels, turn = components(links), 0
-    # Larger buckets whose members have several labels yet; 0 <= chance < 1 orders the members.
-    open_ = members.where("size > 2").withColumn("chance", F.pmod(F.xxhash64("rep", "bucket"), F.lit(1 << 40)) / F.lit(float(1 << 40)))
+    reps = words.groupBy("digest").agg(F.min_by(F.struct("row", "id", "n_words", "bands"), order).alias("r"), F.count("*").alias("n"))
+    reps = stored(reps.select(F.col("r.row").alias("rep"), "r.id", "digest", "n", F.greatest(F.col("r.n_words") - (SHINGLE_WORDS - 1), F.lit(1)).alias("bag"), "r.bands"), "representatives")
+    members = reps.select("rep", "bag", F.explode("bands").alias("bucket"))
+    sizes = members.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
+    members = stored(members.join(sizes, "bucket"), "buckets")
+    degrees = members.groupBy("rep").agg(F.sum("size").alias("degree"))
+    involved = reps.select("rep", "id", "digest").join(degrees.select("rep"), "rep", "left_semi")
+    body = docs.select(F.col(ident).cast("long").alias("i"), text_of(text).alias("t"))
+    body = involved.join(body, F.col("id").eqNullSafe(F.col("i"))).where(digest_of(F.col("t")) == F.col("digest"))
+    bodies = stored(body.select("rep", "t"), "texts")
+    members = checkpointed(members.join(degrees, "rep"))
+    first = F.struct("degree", (-F.col("rep")).alias("r"))  # the pivot is the member of the highest
+    pivots = members.groupBy("bucket").agg(F.max(F.struct("degree", (-F.col("rep")).alias("r"), "bag")).alias("m")).select("bucket", (-F.col("m.r")).alias("p"), F.col("m.bag").alias("p_bag"))
+    members = members.join(pivots, "bucket")
+    fits = lambda x, y: f"least({x}, {y}) >= {near} * greatest({x}, {y})"
+    sims = verified(members.where(f"rep <> p and {fits('bag', 'p_bag')}").select(F.col("rep").alias("a"), "p").distinct(), bodies)
+    labels, turn = components(sims.where(F.col("s") >= near)), 1
+    known = sims.select(F.col("a").alias("rep"), "p", (1 - F.col("s")).alias("d0"))
+    open_ = members.where("size > 2").join(known, ["rep", "p"], "left").withColumn("d0", F.when(F.col("rep") == F.col("p"), F.lit(0.0)).otherwise(F.col("d0")))
+    chance = F.pmod(F.xxhash64("rep", "bucket"), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    open_ = open_.withColumns({"chance": chance, "d1": F.lit(None).cast("double"), "d2": F.lit(None).cast("double")})
+    far = " or ".join(f"coalesce(abs(x.d{k} - y.d{k}) > {1 - near + 1e-9}, false)" for k in range(3))
     while True:
         named = open_.join(labels.withColumnRenamed("v", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+        named = named.join(labels.select(F.col("v").alias("p"), F.col("label").alias("p_label")), "p", "left").withColumn("p_label", F.coalesce("p_label", "p"))
         mixed = named.groupBy("bucket").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 <> l1").select("bucket")
         open_ = checkpointed(named.join(mixed, "bucket", "left_semi"))
         if not open_.limit(1).count():
             break
-        low, high = (1 << turn) - 1, (1 << turn + 1) - 1
-        chosen = F.when(F.col("size") <= SMALL, F.lit(turn == 0)).otherwise((F.col("chance") * F.col("size") >= low) & (F.col("chance") * F.col("size") < high))
-        pivots = open_.where(chosen).select("bucket", F.col("rep").alias("q"), F.col("label").alias("q_label"), F.col("chance").alias("q_chance"))
-        pairs = open_.join(pivots, "bucket").where("label <> q_label and rep <> p and q <> p and (chance > q_chance or chance = q_chance and rep > q)")
-        pairs = checkpointed(pairs.select(F.greatest("rep", "q").alias("a"), F.least("rep", "q").alias("p")).distinct())
-        more = verified(pairs, reps, docs, ident, text, near)
+        unused = open_.where("rep <> p" + "".join(f" and coalesce(d{k}, 1) > 0" for k in (1, 2)))
+        if turn <= 2:  # small buckets all at once, of larger ones one pivot
+            small = unused.where(F.col("size") <= (SMALL if turn == 1 else 0)).select("bucket", "rep")
+            one = unused.where((F.col("size") > SMALL) & (F.col("label") != F.col("p_label"))).groupBy("bucket").agg((-F.max(first)["r"]).alias("rep"))
+            chosen, after = small.unionByName(one), "(x.size > 8 or x.rep > y.rep)"
+        else:
+            low, high = (4 ** (turn - 3) - 1) // 3 * 4, (4 ** (turn - 2) - 1) // 3 * 4
+            chosen = unused.where((F.col("chance") * F.col("size") >= low) & (F.col("chance") * F.col("size") < high)).select("bucket", "rep")
+            after = "(x.chance > y.chance or x.chance = y.chance and x.rep > y.rep)"
+        y = checkpointed(open_.join(chosen, ["bucket", "rep"], "left_semi").withColumnsRenamed({"label": "q_label"}))
+        pairs = open_.alias("x").join(y.alias("y"), F.expr(f"x.bucket = y.bucket and x.label <> y.q_label and x.rep <> y.rep and x.rep <> x.p and {after} and {fits('x.bag', 'y.bag')} and not ({far})"))
+        pairs = checkpointed(pairs.select(F.col("x.bucket").alias("bucket"), F.col("x.rep").alias("a"), F.col("y.rep").alias("q"), F.col("x.size").alias("size")))
+        sims = verified(pairs.select("a", F.col("q").alias("p")).distinct(), bodies)
+        more = sims.where(F.col("s") >= near)
         if more.limit(1).count():
             labels = components(more, labels)
-        turn += 1
-        open_ = open_.where((F.col("size") > SMALL) & (F.col("size") > F.lit((1 << turn) - 1))).drop("label")
+        open_ = open_.drop("label", "p_label")
+        if turn <= 2:
+            seen = pairs.where(F.col("size") > SMALL).join(sims.withColumnRenamed("p", "q"), ["a", "q"]).select("bucket", F.col("a").alias("rep"), (1 - F.col("s")).alias("d"))
+            seen = seen.unionByName(one.select("bucket", "rep", F.lit(0.0).alias("d")))
+            open_ = open_.where(F.col("size") > SMALL).drop(f"d{turn}").join(seen.withColumnRenamed("d", f"d{turn}"), ["bucket", "rep"], "left")
+        else:
+            open_ = open_.where(F.col("size") > high)
         open_ = checkpointed(open_)
+        turn += 1
     named = reps.join(labels.withColumnRenamed("v", "rep"), "rep", "left").select("digest", "rep", "id", "n", F.coalesce("label", "rep").alias("label"))
     sizes = named.groupBy("label").agg(F.min_by(F.struct("id", "rep"), F.struct(F.col("id").isNull(), "id", "rep")).alias("first"), F.sum("n").alias("class_size"))
     named = named.join(sizes, "label").select("digest", F.col("first.id").alias("class_id"), F.col("first.rep").alias("keeper"), "class_size")

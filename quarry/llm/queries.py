@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm import bag_minhash, block_anchors, fingerprints, packing, pseudo_likelihood, quality_bayes, quality_rules, secret_links, trie_bpe, warc
-from quarry.llm.common import table, text_of
+from quarry.llm.common import importable, table, text_of
 
 
 def op1_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -121,7 +122,16 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     )
     import corpus_pipeline
 
-    return {f.__name__: f for f in all_} | {"pipeline": corpus_pipeline.run}
+
+    def ready(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+        @functools.wraps(f)
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            importable(spark)
+            return f(spark, sf_dir)
+
+        return run
+
+    return {f.__name__: ready(f) for f in all_} | {"pipeline": ready(corpus_pipeline.run)}
 
 
 OP1 = """
