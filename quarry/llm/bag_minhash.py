@@ -242,8 +242,11 @@ def classes(docs: DataFrame, ident: str = "doc_id", text: str = "text", near: fl
     members = stored(members.join(sizes, "bucket"), "buckets")
     degrees = members.groupBy("rep").agg(F.sum("size").alias("degree"))
     involved = reps.select("rep", "id", "digest").join(degrees.select("rep"), "rep", "left_semi")
-    body = docs.select(F.col(ident).cast("long").alias("i"), text_of(text).alias("t"))
-    body = involved.join(body, F.col("id").eqNullSafe(F.col("i"))).where(digest_of(F.col("t")) == F.col("digest"))
+    # Rows without id are found by the digest alone, so that they don't all meet.
+    also = lambda i, d: F.when(F.col(i).isNull(), d).otherwise(F.lit(""))
+    body = docs.select(F.col(ident).cast("long").alias("i"), text_of(text).alias("t")).withColumn("k", also("i", digest_of(F.col("t"))))
+    same = F.col("id").eqNullSafe(F.col("i")) & (also("id", F.col("digest")) == F.col("k"))
+    body = involved.join(body, same).where(digest_of(F.col("t")) == F.col("digest")).dropDuplicates(["rep"])
     bodies = stored(body.select("rep", "t"), "texts")
     members = checkpointed(members.join(degrees, "rep"))
     first = F.struct("degree", (-F.col("rep")).alias("r"))  # the pivot is the member of the highest
