@@ -11,8 +11,8 @@ Jaccard similarity.
 Equal texts (same words) collapse first. Of each band's bucket one pivot, the member that meets
 most others in all its buckets (the origin of a group of copies, as a rule), is compared with all
 others by their exact multisets; linked members share a label. Buckets that still hold several
-labels go on: two more pivots from outside the first one's label, then four, sixteen, ... further
-members at once, each compared with members of other labels, until every member was a pivot. A
+labels go on: two more pivots from outside the first one's label, then 16, 256, ... further members
+at once (all, where that is little work), each compared with members of other labels, until every member was a pivot. A
 pair is skipped only within a label, if one bag is too small for a link with the other, or if
 its distances to a common pivot differ by more than a link allows (weighted Jaccard distance is a
 metric), so no link between labels is lost. Links and labels stay in tables; the driver sees
@@ -41,6 +41,8 @@ REGISTERS = BANDS * ROWS
 BLOCK_WORDS = 1 << 20
 #: Members of a bucket that are all compared at once, and members dealt to one task with their pivot.
 SMALL, SHARE = 8, 128
+#: Where the squares of the sizes of all open buckets add up to no more, all members are pivots in one turn.
+AT_ONCE = 4_000_000
 
 _SEED = [np.uint64(k) for k in (0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)]
 
@@ -174,7 +176,7 @@ def verified(pairs: DataFrame, bodies: DataFrame) -> DataFrame:
 
     Members of a pivot are dealt out in shares, each with a copy of the pivot's text.
     """
-    n = 4 * int(bodies.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = int(bodies.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     shares = pairs.groupBy("p").agg(F.ceil(F.count("*") / SHARE).cast("int").alias("shares"))
     spread = pairs.join(shares, "p").withColumn("share", F.pmod(F.xxhash64("a"), F.col("shares")).cast("int"))
     task = F.pmod(F.xxhash64("p", "share"), F.lit(n)).cast("int").alias("task")
@@ -273,10 +275,11 @@ def classes(docs: DataFrame, ident: str = "doc_id", text: str = "text", near: fl
             one = unused.where((F.col("size") > SMALL) & (F.col("label") != F.col("p_label"))).groupBy("bucket").agg((-F.max(first)["r"]).alias("rep"))
             chosen, after = small.unionByName(one), "(x.size > 8 or x.rep > y.rep)"
         else:
-            low, high = (4 ** (turn - 3) - 1) // 3 * 4, (4 ** (turn - 2) - 1) // 3 * 4
+            at_once = open_.groupBy("bucket").count().agg(F.sum(F.col("count") * F.col("count"))).first()[0] <= AT_ONCE
+            low, high = (16 ** (turn - 3) - 1) // 15 * 16, (1 << 62 if at_once else (16 ** (turn - 2) - 1) // 15 * 16)
             chosen = unused.where((F.col("chance") * F.col("size") >= low) & (F.col("chance") * F.col("size") < high)).select("bucket", "rep")
             after = "(x.chance > y.chance or x.chance = y.chance and x.rep > y.rep)"
-        y = checkpointed(open_.join(chosen, ["bucket", "rep"], "left_semi").withColumnsRenamed({"label": "q_label"}))
+        y = open_.join(chosen, ["bucket", "rep"], "left_semi").withColumnsRenamed({"label": "q_label"})
         pairs = open_.alias("x").join(y.alias("y"), F.expr(f"x.bucket = y.bucket and x.label <> y.q_label and x.rep <> y.rep and x.rep <> x.p and {after} and {fits('x.bag', 'y.bag')} and not ({far})"))
         pairs = checkpointed(pairs.select(F.col("x.bucket").alias("bucket"), F.col("x.rep").alias("a"), F.col("y.rep").alias("q"), F.col("x.size").alias("size")))
         sims = verified(pairs.select("a", F.col("q").alias("p")).distinct(), bodies)
@@ -290,7 +293,6 @@ def classes(docs: DataFrame, ident: str = "doc_id", text: str = "text", near: fl
             open_ = open_.where(F.col("size") > SMALL).drop(f"d{turn}").join(seen.withColumnRenamed("d", f"d{turn}"), ["bucket", "rep"], "left")
         else:
             open_ = open_.where(F.col("size") > high)
-        open_ = checkpointed(open_)
         turn += 1
     named = reps.join(labels.withColumnRenamed("v", "rep"), "rep", "left").select("digest", "rep", "id", "n", F.coalesce("label", "rep").alias("label"))
     sizes = named.groupBy("label").agg(F.min_by(F.struct("id", "rep"), F.struct(F.col("id").isNull(), "id", "rep")).alias("first"), F.sum("n").alias("class_size"))
