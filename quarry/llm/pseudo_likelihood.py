@@ -5,10 +5,10 @@ before and the two after it; the sum of the conditional log-probabilities scores
 
 Tokens are words: the most frequent ones of the corpus have ids of their own, others share
 buckets by hash. Word counts cover all documents and set the vocabulary and the output's first
-biases. Training covers all documents too: in each round every partition starts from the shared
-weights, masks one position in ``MASKED`` of each of its documents (other ones each round) and
-learns to predict them; weights of all partitions are averaged by blocks, in proportion to the
-positions seen. What is gathered thus grows with the input, and only weights of a fixed size
+biases. Training covers all documents and all their positions: a round's share of the positions
+is predicted from the words around them, and each position is in exactly one round. In each round
+every partition starts from the shared weights; weights of all partitions are averaged by blocks,
+in proportion to the positions seen. What is gathered thus grows with the input, and only weights of a fixed size
 reach the driver. Probabilities are of two steps, a class of ids and an id within it.
 
 Defined results: a null or empty text has no tokens, sum 0 and a null mean; equal rows get equal
@@ -34,7 +34,7 @@ IDS = FREQUENT + BUCKETS
 PAD = IDS
 SIZE, HIDDEN = 24, 32
 AROUND = (-2, -1, 1, 2)
-MASKED, ROUNDS, BATCH, RATE = 8, 2, 4096, 0.05
+ROUNDS, BATCH, RATE = 2, 4096, 0.05
 #: Numbers of weights in one block that is averaged.
 BLOCK = 1 << 13
 
@@ -139,7 +139,7 @@ def log_probabilities(w: Weights, ids: np.ndarray, around: np.ndarray, step: int
 
 
 class Learner:
-    """Adagrad steps on masked positions."""
+    """Adagrad steps on positions and the ids around them."""
 
     def __init__(self, w: Weights, rate: float = RATE) -> None:
         self.w, self.rate = w, rate
@@ -187,7 +187,7 @@ def counted(docs: DataFrame, text: str) -> Vocabulary:
 
 
 def train(docs: DataFrame, text: str = "text", rounds: int = ROUNDS) -> tuple[Vocabulary, Weights]:
-    """Vocabulary and weights from all documents."""
+    """Vocabulary and weights from all documents; each position is a target in one of the rounds."""
     spark = docs.sparkSession
     vocabulary = counted(docs, text)
     weights = flat(first_weights(vocabulary.counts))
@@ -204,9 +204,9 @@ def train(docs: DataFrame, text: str = "text", rounds: int = ROUNDS) -> tuple[Vo
                 for _, _, words, sizes in _blocks(batch, "words"):
                     ids = v.ids(words)
                     place = np.arange(len(ids)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-                    # Masked by place and word, so that a retried task masks the same.
+                    # Dealt by place and word, so that a retried task takes the same.
                     pick = _mixed(words + place.astype(np.uint64)) >> np.uint64(40)
-                    at = np.flatnonzero(pick % np.uint64(MASKED) == np.uint64(turn % MASKED))
+                    at = np.flatnonzero(pick % np.uint64(rounds) == np.uint64(turn))
                     around = contexts(ids, sizes)[at]
                     mixed = np.argsort(_mixed(words[at] ^ at.astype(np.uint64)), kind="stable")
                     held_ids.append(ids[at][mixed])

@@ -317,6 +317,15 @@ def test_pseudo_likelihood(spark, docs, rows):
     assert pseudo_likelihood.scores(docs.limit(0), model).count() == 0
 
 
+def test_every_position_is_a_target(spark):
+    """An embedding moves only if a target is next to it: alone in pairs, each word needs the other as a target."""
+    pairs = [(k, f"left{k} right{k}") for k in range(100)]
+    vocabulary, weights, *_ = pseudo_likelihood.train(spark.createDataFrame(pairs, "doc_id long, text string"))
+    first = pseudo_likelihood.first_weights(vocabulary.counts)
+    moved = (weights["embed"] != first["embed"]).any(axis=1)
+    assert moved[:200].all() and not moved[200:].any()
+
+
 def test_network_learns_from_both_sides():
     r = np.random.default_rng(0)
     a = r.integers(0, 30, 20_000)
