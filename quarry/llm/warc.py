@@ -41,7 +41,6 @@ LEAST_BYTES = 100
 SALTS = 32
 #: Records in one file at most, so that a file fits a reader's memory.
 FILE_RECORDS = 4000
-MOST_HEADER = 1 << 16
 CHUNK = 1 << 16
 LEVEL = 6
 
@@ -146,19 +145,28 @@ def _headers(block: bytes) -> dict[str, str]:
     return out
 
 
+def _header_end(data, at: int) -> int:
+    """The empty line that ends a header, however long; each search takes more bytes than the last."""
+    step, a = CHUNK, at
+    while a < len(data):
+        found = bytes(data[a : a + step]).find(b"\r\n\r\n")
+        if found >= 0:
+            return a + found
+        a, step = a + step - 3, 2 * step
+    raise Damaged("header without an end")
+
+
 def _record(data, at: int) -> tuple[Found, int]:
     """The record that starts at a place of uncompressed bytes, and where it ends."""
     start = _START.match(data, at)
     if start is None:
         raise Damaged("no version line")
-    end = bytes(data[at : at + MOST_HEADER]).find(b"\r\n\r\n")
-    if end < 0:
-        raise Damaged("header without an end")
-    head = _headers(bytes(data[start.end() : at + end]))
+    end = _header_end(data, at)
+    head = _headers(bytes(data[start.end() : end]))
     kind, size = head.get("warc-type"), head.get("content-length", "")
     if kind is None or not size.isdigit():
         raise Damaged("header without type or length")
-    body = at + end + 4
+    body = end + 4
     block, last = bytes(data[body : body + int(size)]), body + int(size)
     if len(block) < int(size) or bytes(data[last : last + 4]) != b"\r\n\r\n":
         raise Damaged("block shorter than its length")

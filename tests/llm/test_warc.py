@@ -3,6 +3,8 @@
 import gzip
 import hashlib
 
+from pyspark.sql import functions as F
+
 from quarry.llm import warc
 
 
@@ -55,3 +57,24 @@ def test_revisits(spark):
     )
     assert {g.digest for g in got if g.payload_bytes == 120} == {hashlib.sha256(long.encode()).hexdigest()}
     assert warc.archived(df.limit(0)).count() == 0
+
+
+def test_urls_of_more_than_64_kib(spark):
+    for n in (30_000, 500_000):
+        one = warc.record(1, "http://a/" + "é" * (n // 2) + "x" * (n % 2), "response", hashlib.sha256(b"b").hexdigest(), b"b", 1, None)
+        for data in (warc.member(one), one):
+            assert [(f.record_id, f.payload) for f in warc.salvage(data)] == [("<urn:page:1>", b"b")]
+    body = "y" * 200
+    df = spark.createDataFrame([(k, "http://a/" + "中" * 30_000, body) for k in (1, 2)], "page_id long, url string, html string")
+    got = warc.archived(df).select("kind", "record_id", "refers_to", F.length("url").alias("n")).orderBy("record_id").collect()
+    assert [tuple(r) for r in got] == [("response", "<urn:page:1>", None, 270_009), ("revisit", "<urn:page:2>", "<urn:page:1>", 270_009)]
+
+
+def test_a_header_without_an_end_is_a_gap():
+    data = rec(0, b"body") + b"WARC/1.1\r\nWARC-Type: response\r\n" + b"x" * 200_000
+    assert [f.kind for f in warc.salvage(data)] == ["response", "gap"]
+
+
+def test_header_ends_across_steps():
+    for n in range(warc.CHUNK - 8, warc.CHUNK + 8):
+        assert warc._header_end(memoryview(b"x" * n + b"\r\n\r\n" + b"y" * 9), 0) == n
