@@ -5,11 +5,15 @@ before and the two after it; the sum of the conditional log-probabilities scores
 
 Tokens are words: the most frequent ones of the corpus have ids of their own, others share
 buckets by hash. Word counts cover all documents and set the vocabulary and the output's first
-biases. Training covers all documents and all their positions: a round's share of the positions
+biases. A word of a bucket gets its share of the bucket's probability, by the counts of all words,
+which stay in a table and are joined by hash. Of n words in a bucket each counts half an
+occurrence more than it has, and so do n + 1 words that were never seen; the shares of all these
+add up to 1. Training covers all documents and all their positions: a round's share of the positions
 is predicted from the words around them, and each position is in exactly one round. In each round
 every partition starts from the shared weights; weights of all partitions are averaged by blocks,
 in proportion to the positions seen. What is gathered thus grows with the input, and only weights of a fixed size
-reach the driver. Probabilities are of two steps, a class of ids and an id within it.
+reach the driver. Probabilities are of two steps, a class of ids and an id within it, and for
+words of buckets of a third.
 
 Defined results: a null or empty text has no tokens, sum 0 and a null mean; equal rows get equal
 scores; an empty table gives an empty result; other columns are not read.
@@ -18,6 +22,7 @@ scores; an empty table gives an empty result; other columns are not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +40,8 @@ PAD = IDS
 SIZE, HIDDEN = 24, 32
 AROUND = (-2, -1, 1, 2)
 ROUNDS, BATCH, RATE = 2, 4096, 0.05
+#: Logarithms of counts are summed in units of 1 / UNIT, so that the order of rows does not matter.
+UNIT = 1 << 24
 #: Numbers of weights in one block that is averaged.
 BLOCK = 1 << 13
 
@@ -77,15 +84,19 @@ def first_weights(counts: np.ndarray) -> Weights:
 
 
 class Vocabulary:
-    """Ids of word hashes."""
+    """Ids of word hashes, and what the words of each bucket add up to."""
 
-    def __init__(self, top: list[tuple[int, int]], total: int) -> None:
+    def __init__(self, top: list[tuple[int, int]], buckets: list[tuple[int, int, int]]) -> None:
+        """top: (hash, count); buckets: (bucket, count of its words, how many different ones)."""
         known = np.array([h for h, _ in top], np.int64).view(np.uint64)
         self.order = np.argsort(known)
         self.known = known[self.order]
         counts = np.zeros(IDS)
         counts[: len(top)] = [n for _, n in top]
-        counts[FREQUENT:] = max(0, total - counts.sum()) / BUCKETS
+        self.share_of = np.full(BUCKETS, 0.5)
+        for b, n, different in buckets:
+            counts[FREQUENT + b] = n
+            self.share_of[b] += n + different
         self.counts = counts
 
     def ids(self, h: np.ndarray) -> np.ndarray:
@@ -177,19 +188,33 @@ class Learner:
         self.positions += n
 
 
-def counted(docs: DataFrame, text: str) -> Vocabulary:
-    """The most frequent words of all documents; the driver receives at most ``FREQUENT``."""
+class Model(NamedTuple):
+    """The network and the counts (h, n) of the words that have no ids of their own."""
+
+    vocabulary: Vocabulary
+    weights: Weights
+    rare: DataFrame
+
+
+def counted(docs: DataFrame, text: str) -> tuple[Vocabulary, DataFrame]:
+    """The most frequent words of all documents and the counts of all others.
+
+    The driver receives at most ``FREQUENT`` words and ``BUCKETS`` sums.
+    """
     words = docs.select(F.explode(F.transform(words_of(text_of(text)), lambda x: F.xxhash64(x))).alias("h")).groupBy("h").agg(F.count("*").alias("n"))
     words = stored(words, "counts")
-    top = words.orderBy(F.desc("n"), "h").limit(FREQUENT).collect()
-    total = words.agg(F.sum("n")).first()[0] or 0
-    return Vocabulary([(r["h"], r["n"]) for r in top], total)
+    top = [(r["h"], r["n"]) for r in words.orderBy(F.desc("n"), "h").limit(FREQUENT).collect()]
+    h, n = top[-1] if top else (0, 0)
+    rare = words.where((F.col("n") < n) | ((F.col("n") == n) & (F.col("h") > h)))
+    bucket = (F.shiftrightunsigned("h", 20) % BUCKETS).cast("int").alias("b")
+    sums = rare.groupBy(bucket).agg(F.sum("n").alias("n"), F.count("*").alias("different")).collect()
+    return Vocabulary(top, [tuple(r) for r in sums]), rare
 
 
-def train(docs: DataFrame, text: str = "text", rounds: int = ROUNDS) -> tuple[Vocabulary, Weights]:
+def train(docs: DataFrame, text: str = "text", rounds: int = ROUNDS) -> Model:
     """Vocabulary and weights from all documents; each position is a target in one of the rounds."""
     spark = docs.sparkSession
-    vocabulary = counted(docs, text)
+    vocabulary, rare = counted(docs, text)
     weights = flat(first_weights(vocabulary.counts))
     hashes = docs.select(word_hashes(text_of(text)).alias("words"))
 
@@ -237,26 +262,44 @@ def train(docs: DataFrame, text: str = "text", rounds: int = ROUNDS) -> tuple[Vo
 
     for turn in range(rounds):
         weights = round_(turn, weights)
-    return vocabulary, unflat(weights)
+    return Model(vocabulary, unflat(weights), rare)
 
 
-def scores(docs: DataFrame, model: tuple[Vocabulary, Weights], ident: str = "doc_id", text: str = "text") -> DataFrame:
+def scores(docs: DataFrame, model: Model, ident: str = "doc_id", text: str = "text") -> DataFrame:
     """For each row its id, n_tokens, log_likelihood and mean_log_probability."""
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)  # of a fixed size
+    shared = spark.sparkContext.broadcast((model.vocabulary, model.weights))  # of a fixed size
     kind = docs.schema[ident].dataType.simpleString()
+    names = ["row", "id", "n_tokens", "network", "h", "times"]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row for each document, with a random h, and one for each of its rare words."""
         v, w = shared.value
         for batch in batches:
             for a, b, words, sizes in _blocks(batch, "words"):
                 ids = v.ids(words)
                 p = log_probabilities(w, ids, contexts(ids, sizes)).astype(np.float64)
+                at = np.flatnonzero(ids >= FREQUENT)
+                p[at] -= np.log(v.share_of[ids[at] - FREQUENT])
                 sums = np.concatenate([[0.0], np.cumsum(p)])
                 ends = np.cumsum(sizes)
                 total = np.where(sizes > 0, sums[ends] - sums[ends - sizes], 0.0)
-                mean = pa.array(total / np.maximum(sizes, 1), pa.float64(), mask=sizes == 0)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(sizes, pa.int64()), pa.array(total), mean], [ident, "n_tokens", "log_likelihood", "mean_log_probability"])
+                rows = batch.column(0).slice(a, b - a)
+                spread = _mixed(rows.to_numpy().view(np.uint64) + np.uint64(1)).view(np.int64)
+                yield pa.RecordBatch.from_arrays([rows, batch.column(1).slice(a, b - a), pa.array(sizes, pa.int64()), pa.array(total), pa.array(spread), pa.array(np.zeros(b - a, np.int64))], names)
+                doc, h = np.repeat(np.arange(len(sizes)), sizes)[at], words[at]
+                order = np.lexsort((h, doc))
+                doc, h = doc[order], h[order]
+                first = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])])) if len(h) else np.empty(0, int)
+                times, none = np.diff(first, append=len(h)), len(first)
+                yield pa.RecordBatch.from_arrays(
+                    [rows.take(pa.array(doc[first])), pa.nulls(none, batch.column(1).type), pa.nulls(none, pa.int64()), pa.nulls(none, pa.float64()), pa.array(h[first].view(np.int64)), pa.array(times, pa.int64())], names
+                )
 
-    rows = docs.select(F.col(ident), word_hashes(text_of(text)).alias("words"))
-    return rows.mapInArrow(work, f"`{ident}` {kind}, n_tokens long, log_likelihood double, mean_log_probability double")
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(ident).alias("id"), word_hashes(text_of(text)).alias("words"))
+    rows = rows.mapInArrow(work, f"row long, id {kind}, n_tokens long, network double, h long, times long")
+    known = F.round(F.log(F.coalesce(F.col("n"), F.lit(0)) + 0.5) * UNIT).cast("long")
+    rows = rows.join(model.rare, "h", "left").groupBy("row").agg(F.max("id").alias("id"), F.max("n_tokens").alias("n_tokens"), F.max("network").alias("network"), F.sum(F.col("times") * known).alias("shares"))
+    total = F.col("network") + F.col("shares") / UNIT
+    rows = rows.select("id", "n_tokens", total.alias("log_likelihood"))
+    return rows.select(F.col("id").alias(ident), "n_tokens", "log_likelihood", F.when(F.col("n_tokens") > 0, F.col("log_likelihood") / F.col("n_tokens")).alias("mean_log_probability"))

@@ -326,6 +326,24 @@ def test_every_position_is_a_target(spark):
     assert moved[:200].all() and not moved[200:].any()
 
 
+def test_words_of_a_bucket_have_shares_of_it(spark):
+    """Frequent words fill the vocabulary; of two words in one bucket, and one never seen, each has a score of its own."""
+    frequent = " ".join(f"f{k}" for k in range(pseudo_likelihood.FREQUENT))
+    names = [f"rare{k}" for k in range(8000)]
+    df = spark.createDataFrame([(n,) for n in names], "w string").select("w", (F.shiftrightunsigned(F.xxhash64("w"), 20) % pseudo_likelihood.BUCKETS).alias("b"))
+    often, once, never = sorted(df.where("b = 7").select("w").limit(3).toPandas()["w"])
+    texts = [*[frequent] * 5, *[often] * 3, once]
+    model = pseudo_likelihood.train(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), rounds=1)
+    asked = [often, once, never, often, f"{often} {never} {often}", "f1", None]
+    got = sorted(pseudo_likelihood.scores(spark.createDataFrame(list(enumerate(asked)), "doc_id long, text string"), model).collect())
+    s = [r.log_likelihood for r in got]
+    assert [r.n_tokens for r in got] == [1, 1, 1, 1, 3, 1, 0] and s[0] == s[3] and s[6] == 0
+    assert s[0] - s[1] == pytest.approx(np.log(3.5 / 1.5), abs=1e-6) and s[1] - s[2] == pytest.approx(np.log(1.5 / 0.5), abs=1e-6)
+    bucket = pseudo_likelihood.log_probabilities(model[1], np.array([pseudo_likelihood.FREQUENT + 7]), np.full((1, 4), pseudo_likelihood.PAD))[0]
+    # Two words seen and three unseen ones share the bucket.
+    assert np.exp(s[0]) + np.exp(s[1]) + 3 * np.exp(s[2]) == pytest.approx(np.exp(float(bucket)), rel=1e-4)
+
+
 def test_network_learns_from_both_sides():
     r = np.random.default_rng(0)
     a = r.integers(0, 30, 20_000)
