@@ -65,17 +65,21 @@ def sector_ranking(catalog: DataFrame, sheets: DataFrame, k: int = 10) -> DataFr
     return rows.where("analysed > 0").join(total, "sector").orderBy(F.desc("average_roe"), "sector")
 
 
+def _roa(sheets: DataFrame) -> list[str]:
+    return [c for c in sheets.columns if c == "roa"]
+
+
 def sector_detail(catalog: DataFrame, sheets: DataFrame, sector: str) -> DataFrame:
-    """A sector's members with the latest year and quarter, revenue in thousands of its unit."""
+    """A sector's members with the latest year and quarter, revenue in thousands of its unit; roa where sheets have it."""
     members = C.in_sector(catalog, sector).select(ID, "symbol", "name", "market")
-    year, quarter = latest_year(sheets, "revenue", "net_profit", "roe"), latest_quarter(sheets, "close", "price_earning_ratio")
+    year, quarter = latest_year(sheets, "revenue", "net_profit", "roe", *_roa(sheets)), latest_quarter(sheets, "close", "price_earning_ratio")
     rows = members.join(year, ID).join(quarter, ID, "left")
     return rows.withColumns({"revenue": F.round(F.col("revenue") / 1000, 2), "net_profit": F.round(F.col("net_profit") / 1000, 2)}).orderBy(F.desc("revenue"), "symbol")
 
 
 def sector_summary(catalog: DataFrame, sheets: DataFrame, sector: str) -> DataFrame:
     d = sector_detail(catalog, sheets, sector)
-    return d.agg(F.count("*").alias("n"), F.avg("roe").alias("average_roe"), F.coalesce(F.sum("revenue"), F.lit(0.0)).alias("total_revenue"))
+    return d.agg(F.count("*").alias("n"), *[F.avg(c).alias(f"average_{c}") for c in ("roe", *_roa(d))], F.coalesce(F.sum("revenue"), F.lit(0.0)).alias("total_revenue"))
 
 
 def sector_revenue(catalog: DataFrame, sheets: DataFrame, sector: str, k: int = 5) -> DataFrame:

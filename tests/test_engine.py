@@ -146,3 +146,12 @@ def test_plans_push_down_and_prune(spark, tmp_path, market):
     market.sheets.write.parquet(str(tmp_path / "s"))
     plan = R.latest_year(spark.read.parquet(str(tmp_path / "s")), "revenue")._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(quarter,9)" in plan and "close" not in plan.split("ReadSchema")[1]
+
+
+def test_sector_return_on_assets(spark):
+    cat = spark.createDataFrame([(1, "A", "a", "m", "Bank"), (2, "B", "b", "m", "Bank"), (3, "C", "c", "m", "Food")], "security_id int, symbol string, name string, market string, sector string")
+    rows = [(k, year, 9, 1000.0, 100.0, 10.0, k + year - 2020.0, None, None) for k in (1, 2, 3) for year in (2019, 2020)]
+    sheets = spark.createDataFrame(rows, "security_id int, fiscal int, quarter int, revenue double, net_profit double, roe double, roa double, close double, price_earning_ratio double")
+    assert [(r.symbol, r.roa) for r in R.sector_detail(cat, sheets, "bank").collect()] == [("A", 1.0), ("B", 2.0)]
+    assert R.sector_summary(cat, sheets, "bank").first().asDict() == {"n": 2, "average_roe": 10.0, "average_roa": 1.5, "total_revenue": 2.0}
+    assert "average_roa" not in R.sector_summary(cat, sheets.drop("roa"), "bank").columns
