@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import os
 import tempfile
 import uuid
 from pathlib import Path
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -65,29 +68,82 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def shared_path(spark: SparkSession, kind: str) -> str:
-    """A new place below the shared folder."""
-    return f"{shared_dir(spark)}/quarry/{kind}-{uuid.uuid4().hex}"
+    """A new place below the shared folder, in a folder of this application alone."""
+    return f"{shared_dir(spark)}/quarry/{spark.sparkContext.applicationId}/{kind}-{uuid.uuid4().hex}"
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Remove a file or folder of whatever file system path names."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def _delete_at_exit(spark: SparkSession, path: str) -> None:
+    def gone() -> None:
+        with contextlib.suppress(Exception):  # the session may have ended before
+            delete(spark, path)
+
+    atexit.register(gone)
 
 
 def stored(df: DataFrame, kind: str) -> DataFrame:
-    """df written to the shared folder and read again: computed once, lineage cut."""
+    """df written to the shared folder and read again: computed once, lineage cut.
+
+    For tables that a returned DataFrame reads: they stay until the driver's Python ends. If it
+    is killed, the application's folder below the shared one is left and may be removed.
+    """
     spark = df.sparkSession
     at = shared_path(spark, kind)
+    _delete_at_exit(spark, at)
     df.write.parquet(at)
     return spark.read.schema(df.schema).parquet(at)
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df held in the shared folder; Spark removes the files once df is out of use."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
+class Scratch:
+    """Tables that go when the block ends, also when it fails.
 
+    Stored ones lie in the shared folder and cut the lineage; cached ones, for small steps between
+    them, are made again from stored ones where an executor is lost.
+    """
 
-def delete(spark: SparkSession, path: str) -> None:
-    """Remove a file or folder of whatever file system path names."""
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.held = spark, []
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def stored(self, df: DataFrame, kind: str) -> DataFrame:
+        """df written and read again."""
+        at = shared_path(self.spark, kind)
+        self.held.append((None, at))  # what a failed write leaves goes too
+        df.write.parquet(at)
+        out = self.spark.read.schema(df.schema).parquet(at)
+        self.held[-1] = (out, at)
+        return out
+
+    def cached(self, df: DataFrame) -> DataFrame:
+        """df held by the executors, in memory or on their disks."""
+        out = df.persist(StorageLevel.MEMORY_AND_DISK)
+        self.held.append((out, None))
+        return out
+
+    def _free(self, table: DataFrame | None, at: str | None) -> None:
+        if at is None:
+            table.unpersist()
+        else:
+            delete(self.spark, at)
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Remove tables that nothing reads any more."""
+        for h in [h for h in self.held if any(h[0] is t for t in tables)]:
+            self._free(*h)
+        self.held = [h for h in self.held if not any(h[0] is t for t in tables)]
+
+    def __exit__(self, *_) -> None:
+        for h in self.held:
+            self._free(*h)
+        self.held = []
 
 
 def importable(spark: SparkSession) -> None:
