@@ -199,16 +199,18 @@ def learn(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED)
     picked = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     picked = picked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
     s = F.col("s")
+    # Documents that fail the base rules go after they are here: as a filter their statistics would
+    # be computed below the join, for all documents.
     rows = (
         docs.select("doc_id", F.col("text").alias("text"))
         .join(F.broadcast(picked), "doc_id")
         .select("doc_id", "quality", statistics(text_of("text")).alias("s"))
-        .where(~base_failed(s))
-        .select("doc_id", "quality", *[feature(s, n).alias(n) for n in FEATURES])
-        .orderBy(F.xxhash64("doc_id"), *FEATURES)
+        .select("doc_id", "quality", base_failed(s).alias("failed"), *[feature(s, n).alias(n) for n in FEATURES])
+        .orderBy(F.xxhash64("doc_id"), "failed", *FEATURES)
         .limit(max_labelled)
         .collect()
     )
+    rows = [r for r in rows if not r["failed"]]
     table = {n: np.array([r[n] for r in rows], float) for n in FEATURES}
     return learn_rules(table, np.array([r["quality"] == 0 for r in rows], bool))
 
