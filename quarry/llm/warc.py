@@ -10,16 +10,23 @@ by Spark's text writer: a member ends with a byte 0 (the high byte of its length
 The reader checks every member (its CRC and length, the version line, the lengths, the digests).
 After a failed check it searches for the next place where a whole member, or in an uncompressed
 file a version line with a readable header, begins; records from there on are recovered, and the
-bytes between are reported as a gap with the reason.
+bytes between are reported as a gap with the reason. A member may hold any number of records:
+``offset`` is the member's, ``inner`` the record's place in it, and ``length`` that of the member
+where the record has it alone, else the record's own inside; a record that fails in a sound
+member is a gap with its place and length inside, and of a damaged member the records before the
+damage are recovered if their digests hold. Digests may be of any kind that hashlib has, in hex or
+base32; header lines may be folded.
 
 Defined results: null html is an empty payload; a null url is written as urn:unknown; pages of
 the same digest and the smallest id, repeated rows among them, are all responses; null ids come
 last; an empty table gives an archive without records; other columns are not read. Records may
-have any length that fits a worker's memory.
+have any length that fits a worker's memory; the writer starts a new file once ``FILE_BYTES`` are
+reached, and a reader's file must be below 2 GiB, the bound of Spark's binary files.
 """
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import re
 import zlib
@@ -39,8 +46,8 @@ DATE = "1970-01-01T00:00:00Z"
 #: Payloads of fewer bytes are not deduplicated.
 LEAST_BYTES = 100
 SALTS = 32
-#: Records in one file at most, so that a file fits a reader's memory.
-FILE_RECORDS = 4000
+#: Bytes after which a file ends (at the next record), so that it fits a reader's memory.
+FILE_BYTES = 1 << 26
 CHUNK = 1 << 16
 LEVEL = 6
 
@@ -97,19 +104,31 @@ def write(pages: DataFrame, path: str, ident: str = "page_id", url: str = "url",
     rows = rows.mapInArrow(compress, "id long, url string, digest string, size long, gz binary")
     rows = rows.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
     again = F.col("head").isNotNull() & ~F.coalesce(F.col("id") == F.col("head"), F.lit(False))
-
-    @F.arrow_udf("binary")
-    def revisit(ids: pa.Array, urls: pa.Array, digests: pa.Array, sizes: pa.Array, heads_: pa.Array) -> pa.Array:
-        out = []
-        for i, u, d, s, h in zip(ids, urls, digests, sizes, heads_, strict=True):
-            out.append(None if h.as_py() is None else _unended(member(record(i.as_py(), u.as_py(), "revisit", d.as_py(), b"", s.as_py(), h.as_py()))))
-        return pa.array(out, pa.binary())
-
-    joined = rows.join(heads, ["digest", "salt"], "left").withColumn("to", F.when(again, F.col("head")))
-    gz = F.coalesce(revisit("id", "url", "digest", "size", "to"), F.col("gz"))
+    most = FILE_BYTES
+
+    def filed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Members in files of bounded size; those of revisits are made here."""
+        from pyspark import TaskContext
+
+        part, k, size = TaskContext.get().partitionId(), 0, 0
+        for batch in batches:
+            members, files = [], []
+            for i, u, d, s, to, gz in zip(*batch.columns, strict=True):
+                if to.is_valid:
+                    m = _unended(member(record(i.as_py(), u.as_py(), "revisit", d.as_py(), b"", s.as_py(), to.as_py())))
+                else:
+                    m = gz.as_py()
+                if size and size + len(m) >= most:
+                    k, size = k + 1, 0
+                size += len(m) + 1
+                members.append(m)
+                files.append(f"{part}-{k}")
+            yield pa.RecordBatch.from_arrays([pa.array(members, pa.binary()), pa.array(files, pa.string())], ["value", "file"])
+
+    joined = rows.join(heads, ["digest", "salt"], "left").select("id", "url", "digest", "size", F.when(again, F.col("head")).alias("to"), "gz")
     # The bytes pass through a string column unchanged; the text writer ends each with a byte 0.
-    out = joined.select(gz.cast("string").alias("value"))
-    out.write.option("lineSep", "\x00").option("maxRecordsPerFile", FILE_RECORDS).mode("overwrite").text(path)
+    out = joined.mapInArrow(filed, "value binary, file string").select(F.col("value").cast("string"), "file")
+    out.write.partitionBy("file").option("lineSep", "\x00").mode("overwrite").text(path)
 
 
 class Found(NamedTuple):
@@ -125,19 +144,25 @@ class Found(NamedTuple):
     digest: str | None = None
     payload: bytes | None = None
     payload_bytes: int | None = None
+    inner: int = 0
 
 
 class Damaged(Exception):
     """A check that failed."""
 
 
+class Short(Damaged):
+    """A check that failed at the end of the bytes."""
+
+
 _START = re.compile(rb"WARC/1\.[01]\r\n")
 _GZIP = b"\x1f\x8b\x08"
 
 
 def _headers(block: bytes) -> dict[str, str]:
+    """Names and values; a line that starts with a blank goes on from the line before."""
     out = {}
-    for line in block.split(b"\r\n"):
+    for line in re.sub(rb"\r\n[ \t]+", b" ", block).split(b"\r\n"):
         name, sep, value = line.partition(b":")
         if not sep:
             raise Damaged("header line without a colon")
@@ -145,6 +170,12 @@ def _headers(block: bytes) -> dict[str, str]:
     return out
 
 
+def _http_length(top: bytes) -> int | None:
+    """The Content-Length of an HTTP header, whatever its other lines are like."""
+    found = re.search(rb"(?im)^content-length:[ \t]*([0-9]{1,18})[ \t]*\r?$", top)
+    return int(found[1]) if found else None
+
+
 def _header_end(data, at: int) -> int:
     """The empty line that ends a header, however long; each search takes more bytes than the last."""
     step, a = CHUNK, at
@@ -153,59 +184,114 @@ def _header_end(data, at: int) -> int:
         if found >= 0:
             return a + found
         a, step = a + step - 3, 2 * step
-    raise Damaged("header without an end")
+    raise Short("header without an end")
+
+
+def _holds(digest: str, data: bytes) -> bool | None:
+    """Whether data has a digest (kind:value, in hex or base32); None if its kind is not known."""
+    kind, sep, value = digest.partition(":")
+    if not sep or kind.lower().replace("-", "") not in ("md5", "sha1", "sha224", "sha256", "sha384", "sha512"):
+        return None
+    own = hashlib.new(kind.lower().replace("-", ""), data, usedforsecurity=False).digest()
+    return value.lower() == own.hex() or value.rstrip("=").upper() == base64.b32encode(own).decode().rstrip("=")
 
 
-def _record(data, at: int) -> tuple[Found, int]:
-    """The record that starts at a place of uncompressed bytes, and where it ends."""
+def _record(data, at: int) -> tuple[Found, int, bool]:
+    """The record that starts at a place of uncompressed bytes, where it ends, and whether a digest of its block holds."""
     start = _START.match(data, at)
     if start is None:
-        raise Damaged("no version line")
+        raise (Short if len(data) - at < len(VERSION) + 2 else Damaged)("no version line")
     end = _header_end(data, at)
     head = _headers(bytes(data[start.end() : end]))
     kind, size = head.get("warc-type"), head.get("content-length", "")
     if kind is None or not size.isdigit():
         raise Damaged("header without type or length")
     body = end + 4
-    block, last = bytes(data[body : body + int(size)]), body + int(size)
-    if len(block) < int(size) or bytes(data[last : last + 4]) != b"\r\n\r\n":
+    last = body + int(size)
+    if len(data) < last + 4:
+        raise Short("block shorter than its length")
+    if bytes(data[last : last + 4]) != b"\r\n\r\n":
         raise Damaged("block shorter than its length")
-    want = head.get("warc-block-digest", "")
-    if want.startswith("sha256:") and hashlib.sha256(block).hexdigest() != want[7:]:
+    block = bytes(data[body:last])
+    checked = _holds(head.get("warc-block-digest", ""), block)
+    if checked is False:
         raise Damaged("block digest differs")
     payload, full = block, len(block)
     if head.get("content-type", "").startswith("application/http"):
         top, sep, payload = block.partition(b"\r\n\r\n")
         if not sep:
             raise Damaged("HTTP header without an end")
-        full = int(_headers(top.partition(b"\r\n")[2]).get("content-length", len(payload)))
+        said = _http_length(top)
+        full = len(payload) if said is None else said
     digest = head.get("warc-payload-digest", "")
-    if kind != "revisit" and digest.startswith("sha256:") and hashlib.sha256(payload).hexdigest() != digest[7:]:
+    if kind != "revisit" and _holds(digest, payload) is False:
         raise Damaged("payload digest differs")
     found = Found(
         kind, at, last + 4 - at, None, head.get("warc-record-id"), head.get("warc-target-uri"), head.get("warc-refers-to"),
         digest.removeprefix("sha256:") or None, None if kind == "revisit" else payload, full if kind == "revisit" else len(payload),
     )
-    return found, last + 4
-
-
-def _member(data: memoryview, at: int) -> tuple[Found, int]:
-    """The record in the gzip member at a place, and where the member ends."""
-    z, parts, after = zlib.decompressobj(31), [], at
-    try:
-        while not z.eof and after < len(data):
-            parts.append(z.decompress(data[after : after + CHUNK]))
-            after = min(len(data), after + CHUNK)
-    except zlib.error as e:
-        raise Damaged(f"member: {e}") from e
-    if not z.eof:
-        raise Damaged("member without an end")
-    plain = b"".join(parts)
-    found, end = _record(plain, 0)
-    if end != len(plain):
-        raise Damaged("member with bytes after its record")
-    after -= len(z.unused_data)
-    return found._replace(offset=at, length=after - at), after
+    return found, last + 4, checked is True
+
+
+def _member(data: memoryview, at: int) -> Iterator[Found | int]:
+    """The records and inner gaps of the gzip member at a place and then, as a number, where it ends.
+
+    Bytes are decompressed as records need them. From the first record without a digest on, records
+    wait for the end of the member, whose CRC vouches for them.
+    """
+    z, plain, after = zlib.decompressobj(31), bytearray(), at
+    waiting, n, inner, lost, reason, sure = [], 0, 0, -1, "", True
+
+    def fed() -> bool:
+        nonlocal after
+        if z.eof:
+            return False
+        if after >= len(data):
+            raise Damaged("member without an end")
+        part = data[after : after + CHUNK]
+        after += len(part)
+        try:
+            plain.extend(z.decompress(part))
+        except zlib.error as e:
+            raise Damaged(f"member: {e}") from e
+        return True
+
+    while True:
+        try:
+            found, end, checked = _record(plain, 0)
+        except Damaged as e:
+            if isinstance(e, Short) and fed():
+                continue
+            if not plain:
+                break
+            lost, reason = (inner, str(e)) if lost < 0 else (lost, reason)
+            while (m := _START.search(plain, 1)) is None and fed():
+                skip = max(0, len(plain) - CHUNK)  # a version line may span two pieces
+                del plain[:skip]
+                inner += skip
+            skip = m.start() if m else len(plain)
+            del plain[:skip]
+            inner += skip
+            continue
+        if lost >= 0:
+            waiting.append(Found("gap", at, inner - lost, reason, inner=lost))
+            lost = -1
+        waiting.append(found._replace(offset=at, inner=inner))
+        n, sure = n + 1, sure and checked
+        del plain[:end]
+        inner += end
+        if sure and n > 1:
+            yield from waiting
+            waiting = []
+    if not n:
+        raise Damaged(reason or "member without a record")
+    end = after - len(z.unused_data)
+    if lost >= 0:
+        waiting.append(Found("gap", at, inner - lost, reason, inner=lost))
+    if n == 1 and len(waiting) == 1:
+        waiting[0] = waiting[0]._replace(length=end - at)
+    yield from waiting
+    yield end
 
 
 def salvage(data) -> Iterator[Found]:
@@ -220,7 +306,19 @@ def salvage(data) -> Iterator[Found]:
             at += 1
             continue
         try:
-            found, end = _member(data, at) if bytes(data[at : at + 3]) == _GZIP else _record(data, at)
+            if bytes(data[at : at + 3]) == _GZIP:
+                found = _member(data, at)
+            else:
+                f, end, _ = _record(data, at)
+                found = [f, end]
+            for f in found:
+                if lost >= 0:
+                    yield Found("gap", lost, at - lost, reason)
+                    lost = -1
+                if isinstance(f, int):
+                    at = f
+                else:
+                    yield f
         except Damaged as e:
             if lost < 0:
                 lost, reason = at, str(e)
@@ -230,17 +328,11 @@ def salvage(data) -> Iterator[Found]:
             if plain <= at:
                 plain = m.start() if (m := _START.search(raw, at + 1)) else n
             at = min(gz, plain)
-            continue
-        if lost >= 0:
-            yield Found("gap", lost, at - lost, reason)
-            lost = -1
-        yield found
-        at = end
     if lost >= 0:
         yield Found("gap", lost, n - lost, reason)
 
 
-SHAPE = "path string, kind string, offset long, length long, reason string, record_id string, url string, refers_to string, digest string, payload binary, payload_bytes long"
+SHAPE = "path string, kind string, offset long, length long, reason string, record_id string, url string, refers_to string, digest string, payload binary, payload_bytes long, inner long"
 
 
 def read(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
@@ -260,7 +352,7 @@ def read(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
                 if held:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
 
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
     return files.mapInArrow(work, SHAPE)
 
 

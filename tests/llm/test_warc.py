@@ -78,3 +78,59 @@ def test_a_header_without_an_end_is_a_gap():
 def test_header_ends_across_steps():
     for n in range(warc.CHUNK - 8, warc.CHUNK + 8):
         assert warc._header_end(memoryview(b"x" * n + b"\r\n\r\n" + b"y" * 9), 0) == n
+
+
+def test_members_of_many_records():
+    recs = [rec(k, b"body %d " % k * 4000) for k in range(5)]
+    one = warc.member(b"".join(recs))
+    found = list(warc.salvage(one + warc.member(rec(9, b"last"))))
+    assert [f.record_id for f in found] == [f"<urn:page:{k}>" for k in (0, 1, 2, 3, 4, 9)]
+    assert [f.inner for f in found] == [*[sum(map(len, recs[:k])) for k in range(5)], 0] and found[-1].offset == len(one)
+    # A record that fails inside a sound member is a gap of that place and length.
+    bad = recs[2].replace(b"body 2 body", b"b0dy 2 body", 1)
+    found = list(warc.salvage(warc.member(b"".join([*recs[:2], bad, *recs[3:], b"tail"]))))
+    gaps = [(f.inner, f.length, f.reason) for f in found if f.kind == "gap"]
+    assert gaps == [(len(recs[0] + recs[1]), len(bad), "block digest differs"), (sum(map(len, recs)), 4, "no version line")]
+    assert [f.record_id for f in found if f.kind != "gap"] == [f"<urn:page:{k}>" for k in (0, 1, 3, 4)]
+
+
+def test_records_before_the_damage_of_a_member():
+    import random
+
+    noise = [random.Random(k).randbytes(150_000) for k in range(4)]
+    one = warc.member(b"".join(rec(k, n) for k, n in enumerate(noise)))
+    found = list(warc.salvage(one[: len(one) * 5 // 8] + warc.member(rec(9, b"last"))))
+    assert [f.record_id for f in found if f.kind != "gap"] == ["<urn:page:0>", "<urn:page:1>", "<urn:page:9>"]
+    assert [f.offset for f in found if f.kind == "gap"] == [0]
+    # Without digests nothing vouches for the bytes of a member that does not end.
+    plain = lambda k, n: b"WARC/1.0\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:page:%d>\r\nContent-Length: %d\r\n\r\n%s\r\n\r\n" % (k, len(n), n)
+    one = warc.member(b"".join(plain(k, n) for k, n in enumerate(noise)))
+    assert [f.kind for f in warc.salvage(one)] == ["resource"] * 4
+    assert [f.kind for f in warc.salvage(one[:-9])] == ["gap"]
+
+
+def test_digests_and_folded_lines():
+    import base64
+
+    body = b"HTTP/1.1 200 OK\r\nstatus line without colon\r\nX: 1\r\n\r\npage"
+    sha1 = hashlib.sha1(b"page").digest()
+
+    def made(digest: str) -> bytes:
+        head = f"WARC/1.0\r\nWARC-Type: response\r\nWARC-Target-URI: http://a/\r\n  b\r\nContent-Type: application/http\r\nWARC-Payload-Digest: {digest}\r\nContent-Length: {len(body)}\r\n\r\n"
+        return head.encode() + body + b"\r\n\r\n"
+
+    for value in (base64.b32encode(sha1).decode(), sha1.hex()):
+        (f,) = warc.salvage(made(f"sha1:{value}"))
+        assert (f.kind, f.payload, f.url) == ("response", b"page", "http://a/ b")
+    assert [f.kind for f in warc.salvage(made("sha1:" + "A" * 32))] == ["gap"]
+    assert [f.kind for f in warc.salvage(made("unknown:xyz"))] == ["response"]
+
+
+def test_files_are_bounded_by_bytes(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "FILE_BYTES", 20_000)
+    rows = [(k, "u", hashlib.sha512(str(k).encode()).hexdigest() * 40) for k in range(300)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({c: F.lit(1) for c in ("digest", "salt", "gz", "file", "value", "head")})
+    warc.write(df.repartition(2), str(tmp_path / "w"))
+    sizes = [p.stat().st_size for p in (tmp_path / "w").rglob("*.txt")]
+    assert len(sizes) > 4 and max(sizes) <= 20_000
+    assert warc.read(spark, str(tmp_path / "w")).where("kind = 'response'").count() == 300
