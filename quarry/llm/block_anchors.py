@@ -6,6 +6,9 @@ at multiples of 10 are the index, every window of 10 words probes it, and only w
 around a hit are extended and compared in full. Runs of such windows are the maximal repeats.
 
 Documents are dealt to groups by id once; that exchange serves all three passes over the texts.
+There are as many groups as shuffle partitions, and more where these would hold more than
+``GROUP_BYTES`` of text each. Where an id (or none) has several rows, documents are dealt by id and
+words, so that no id makes a large group, and messages carry a digest that orders such rows.
 
 1. Each group sends each distinct block hash once, with a mark if it stands at a multiple of 10,
    to the bucket of the hash; the bucket tells the groups which of theirs have a partner.
@@ -13,14 +16,15 @@ Documents are dealt to groups by id once; that exchange serves all three passes
    id that holds it, to its bucket; the bucket tells all groups but the first to remove it.
 3. Each group marks the words of such windows and of its own later copies.
 
-As a group sends a hash once, a passage that a third of all documents share costs a bucket as
+There are never more messages than hashes. As a group sends a hash once, a passage that a third of all documents share costs a bucket as
 many entries as there are groups. Hashes travel sorted, as differences in planes of bytes.
 Window hashes have 64 bits, made from 64-bit hashes of words.
 
 Defined results: a null text has no words; a document of fewer than 20 words loses none; ids are
 in order of their value, null last; rows that share an id are documents in order of their text,
-and rows that are equal throughout count as one and give equal results; columns other than id
-and text are passed through.
+and rows that are equal in both id and words count as one and give equal results; an empty table
+gives no rows; a text of any length is one group's as a whole; columns other than id and text are
+passed through.
 """
 
 from __future__ import annotations
@@ -38,6 +42,8 @@ from quarry.llm.common import fresh, let, text_of, words_of
 
 WINDOW, BLOCK = 20, 10
 LAST_ID = (1 << 63) - 1  # stands for a null id
+#: Bytes of text that a group holds on average at most.
+GROUP_BYTES = 1 << 24
 
 _K = [np.uint64(k) for k in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
@@ -87,7 +93,8 @@ def unpacked(data, dtype) -> np.ndarray:
 class Group:
     """The documents of one group as one row of word hashes, in order."""
 
-    def __init__(self, t: pa.Table, ident: str, text: str | None, hashes: str) -> None:
+    def __init__(self, t: pa.Table, ident: str, hashes: str, ties: bool) -> None:
+        """ties: rows of other groups may share an id with rows here."""
         ids = pc.fill_null(t[ident].cast(pa.int64()), LAST_ID).to_numpy()
         lists = t[hashes].combine_chunks()
         lists = lists if isinstance(lists, pa.ListArray) else pa.concat_arrays([lists])
@@ -96,17 +103,18 @@ class Group:
         sizes = np.diff(offsets)
         # Rows of equal id are ordered by a digest of their words; equal rows count once.
         order = np.argsort(ids, kind="stable")
-        again = np.flatnonzero(np.diff(ids[order]) == 0)
         same = np.zeros(len(ids), bool)
-        if len(again):
-            key = {int(k): hashlib.sha256(values[offsets[k] : offsets[k + 1]].tobytes()).digest() for a in again for k in (order[a], order[a + 1])}
-            order = np.array(sorted(range(len(ids)), key=lambda k: (ids[k], key.get(k, b""), k)))
+        self.tie = np.zeros(len(ids), np.uint64)
+        if ties:
+            key = [hashlib.sha256(values[a:b].tobytes()).digest() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+            self.tie = np.array([int.from_bytes(k[:8], "big") for k in key], np.uint64)
+            order = np.array(sorted(range(len(ids)), key=lambda k: (ids[k], key[k], k)), np.int64)
             for a, b in zip(order[:-1], order[1:], strict=True):
                 same[b] = ids[a] == ids[b] and key[int(a)] == key[int(b)]
         self.rows = order[~same[order]]  # of documents, in order
         self.first_of = np.empty(len(ids), np.int64)  # document of each row
         self.first_of[order] = np.cumsum(~same[order]) - 1
-        self.ids, self.sizes = ids[self.rows], sizes[self.rows]
+        self.ids, self.sizes, self.tie = ids[self.rows], sizes[self.rows], self.tie[self.rows]
         self.ends = np.cumsum(self.sizes)
         starts = self.ends - self.sizes
         whole = np.repeat(offsets[self.rows] - starts, self.sizes) + np.arange(self.ends[-1] if len(self.ends) else 0)
@@ -138,10 +146,10 @@ MESSAGE = pa.schema([("b", pa.int32()), ("g", pa.int32()), ("h", pa.binary()), (
 MESSAGE_DDL = "b int, g int, h binary, d binary"
 
 
-def _anchors(buckets: int, ident: str, hashes: str):
+def _anchors(buckets: int, ident: str, hashes: str, ties: bool):
     def run(t: pa.Table) -> pa.Table:
         g = t["g"][0].as_py()
-        x = Group(t, ident, None, hashes)
+        x = Group(t, ident, hashes, ties)
         keys = (x.block_keys(buckets)[x.in_ten] << np.uint64(1)) | (~x.aligned[x.in_ten]).astype(np.uint64)
         keys.sort()
         # Of equal hashes the first is kept: it stands at a multiple of 10 if any does.
@@ -180,12 +188,12 @@ def _isin(x: np.ndarray, among: np.ndarray) -> np.ndarray:
     return among[np.minimum(np.searchsorted(among, x), len(among) - 1)] == x
 
 
-def _extended(buckets: int, ident: str, hashes: str):
+def _extended(buckets: int, ident: str, hashes: str, ties: bool):
     def run(t: pa.Table, replies: pa.Table) -> pa.Table:
         if not len(t):
             return _table([], MESSAGE)
         g = t["g"][0].as_py()
-        x = Group(t, ident, None, hashes)
+        x = Group(t, ident, hashes, ties)
         keys = x.block_keys(buckets)
         own = np.sort(keys[x.in_ten])
         hits = [own[1:][own[1:] == own[:-1]]]
@@ -197,35 +205,41 @@ def _extended(buckets: int, ident: str, hashes: str):
         near = (seen[BLOCK + 1 : BLOCK + 1 + n] - seen[:n] > 0) & x.in_twenty
         at = np.flatnonzero(near)
         h, k = np.unique(x.twenty[at], return_index=True)
-        smallest = x.ids[x.doc[at[k]]]
+        first = x.doc[at[k]]
         # Buckets are ranges of the hash, so each one's share stays sorted.
         span = (1 << 64) // buckets + 1
         cuts = np.array([min(b * span, (1 << 64) - 1) for b in range(buckets)] + [(1 << 64) - 1], np.uint64)
         rows = []
         for b, i, j in _sent(h, cuts):
             j = len(h) if b == buckets - 1 else j
-            rows.append((b, g, packed(h[i:j]), planes(smallest[i:j])))
+            rows.append((b, g, packed(h[i:j]), planes(x.ids[first[i:j]]) + (planes(x.tie[first[i:j]]) if ties else b"")))
         return _table(rows, MESSAGE)
 
     return run
 
 
-def _later(t: pa.Table) -> pa.Table:
-    """For each group its window hashes that a smaller id in another group has."""
-    b, groups = t["b"][0].as_py(), t["g"].to_pylist()
-    parts = [unpacked(h.as_buffer(), np.uint64) for h in t["h"]]
-    every, ids = np.concatenate(parts), np.concatenate([from_planes(d.as_buffer(), np.int64) for d in t["d"]])
-    order = np.lexsort((ids, every))
-    h = every[order]
-    later = np.empty(len(h), bool)
-    later[order] = np.concatenate([[False], h[1:] == h[:-1]]) if len(h) else []
-    at, rows = 0, []
-    for g, p in zip(groups, parts, strict=True):
-        mine = p[later[at : at + len(p)]]
-        at += len(p)
-        if len(mine):
-            rows.append((b, g, packed(mine), None))
-    return _table(rows, MESSAGE)
+def _later(ties: bool):
+    def run(t: pa.Table) -> pa.Table:
+        """For each group its window hashes that an earlier document in another group has."""
+        b, groups = t["b"][0].as_py(), t["g"].to_pylist()
+        parts = [unpacked(h.as_buffer(), np.uint64) for h in t["h"]]
+        every, firsts = np.concatenate(parts), [np.frombuffer(d.as_buffer(), np.uint8) for d in t["d"]]
+        half = lambda d: len(d) // 2 if ties else len(d)
+        ids = np.concatenate([from_planes(d[: half(d)], np.int64) for d in firsts])
+        tie = np.concatenate([from_planes(d[half(d) :], np.uint64) for d in firsts]) if ties else np.zeros(len(ids), np.uint64)
+        order = np.lexsort((tie, ids, every) if ties else (ids, every))
+        h = every[order]
+        later = np.empty(len(h), bool)
+        later[order] = np.concatenate([[False], h[1:] == h[:-1]]) if len(h) else []
+        at, rows = 0, []
+        for g, p in zip(groups, parts, strict=True):
+            mine = p[later[at : at + len(p)]]
+            at += len(p)
+            if len(mine):
+                rows.append((b, g, packed(mine), None))
+        return _table(rows, MESSAGE)
+
+    return run
 
 
 def _covered(x: Group, remove: np.ndarray) -> np.ndarray:
@@ -243,11 +257,11 @@ def _covered(x: Group, remove: np.ndarray) -> np.ndarray:
     return np.cumsum(edge[:-1]) > 0
 
 
-def _removed(ident: str, text: str, hashes: str, others: list[str], whole: bool, out: pa.Schema):
+def _removed(ident: str, text: str, hashes: str, ties: bool, others: list[str], whole: bool, out: pa.Schema):
     def run(t: pa.Table, replies: pa.Table) -> pa.Table:
         if not len(t):
             return out.empty_table()
-        x = Group(t, ident, text, hashes)
+        x = Group(t, ident, hashes, ties)
         told = [unpacked(h.as_buffer(), np.uint64) for h in replies["h"]]
         gone = _covered(x, np.sort(np.concatenate(told)) if told else np.empty(0, np.uint64))
         lost = np.add.reduceat(np.append(gone, False).astype(np.int64), np.minimum(x.ends - x.sizes, len(gone))) if len(x.ends) else np.empty(0, np.int64)
@@ -279,30 +293,34 @@ def remove_repeats(docs: DataFrame, ident: str = "doc_id", text: str = "text", g
 
     That is kept_sha256, the digest of the kept words joined by spaces; with whole=True, kept_text: the text itself
     where nothing is removed, else the kept words joined by spaces.
-    groups: how many groups, and buckets, there are; as many as shuffle partitions if not given.
+    groups: how many groups, and buckets, there are, if not as many as shuffle partitions or more.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    n = groups or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     hashes, = fresh(docs, "word_hashes")
     others = [c for c in docs.columns if c != text]
     if {"g", "n_words", "n_removed", "kept_sha256", "kept_text"} & {c.lower() for c in others}:
         clash = {c: f"in_{k}" for k, c in enumerate(docs.columns)}
-        out = remove_repeats(docs.withColumnsRenamed(clash), clash[ident], clash[text], n, whole)
+        out = remove_repeats(docs.withColumnsRenamed(clash), clash[ident], clash[text], groups, whole)
         last = out.columns[-3:]
         new = dict(zip(last, fresh(docs.select(*others), *last), strict=True))
         return out.withColumnsRenamed(new).withColumnsRenamed({v: k for k, v in clash.items()})
-    key = F.coalesce(F.col(ident).cast("long"), F.lit(0))
-    dealt = docs.withColumn("g", F.pmod(key.bitwiseXOR(F.shiftrightunsigned(key, 17)).bitwiseXOR(F.shiftrightunsigned(key, 37)), F.lit(n)).cast("int")).repartition(n, "g")
+    each = docs.groupBy(F.col(ident).cast("long").alias("i")).agg(F.count("*").alias("n"), F.sum(F.octet_length(F.col(text))).alias("size"))
+    most, size = each.agg(F.max("n"), F.sum("size")).first()
+    ties = (most or 0) > 1
+    n = groups or max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-(size or 0) // GROUP_BYTES))
     words = let(words_of(text_of(text)), lambda w: F.transform(w, lambda x: F.xxhash64(x)))
+    key = F.coalesce(F.col(ident).cast("long"), F.lit(0))
+    spread = F.xxhash64(key, words) if ties else key.bitwiseXOR(F.shiftrightunsigned(key, 17)).bitwiseXOR(F.shiftrightunsigned(key, 37))
+    dealt = docs.withColumn("g", F.pmod(spread, F.lit(n)).cast("int")).repartition(n, "g")
     dealt = dealt.withColumn(hashes, words)
     by_group = lambda df: df.groupBy("g")
     # Every pass takes all columns, so that all share one exchange of the documents.
-    partners = by_group(dealt).applyInArrow(_anchors(n, ident, hashes), MESSAGE_DDL).groupBy("b").applyInArrow(_partners, MESSAGE_DDL)
-    found = by_group(dealt).cogroup(by_group(partners)).applyInArrow(_extended(n, ident, hashes), MESSAGE_DDL)
-    later = found.groupBy("b").applyInArrow(_later, MESSAGE_DDL)
+    partners = by_group(dealt).applyInArrow(_anchors(n, ident, hashes, ties), MESSAGE_DDL).groupBy("b").applyInArrow(_partners, MESSAGE_DDL)
+    found = by_group(dealt).cogroup(by_group(partners)).applyInArrow(_extended(n, ident, hashes, ties), MESSAGE_DDL)
+    later = found.groupBy("b").applyInArrow(_later(ties), MESSAGE_DDL)
     last = "kept_text" if whole else "kept_sha256"
     shape = docs.select(*others, F.lit(0).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_removed"), F.lit("").cast("string").alias(last)).schema
     for f in shape:
         f.nullable = True
-    return by_group(dealt).cogroup(by_group(later)).applyInArrow(_removed(ident, text, hashes, others, whole, to_arrow_schema(shape)), shape)
+    return by_group(dealt).cogroup(by_group(later)).applyInArrow(_removed(ident, text, hashes, ties, others, whole, to_arrow_schema(shape)), shape)
