@@ -79,6 +79,21 @@ def delete(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+#: Places of stored tables, by the innermost ``released`` block that they were made in.
+_released: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def released(spark: SparkSession):
+    """Tables that are stored inside go when the block ends, also when it fails."""
+    _released.append([])
+    try:
+        yield
+    finally:
+        for at in _released.pop():
+            delete(spark, at)
+
+
 def _delete_at_exit(spark: SparkSession, path: str) -> None:
     def gone() -> None:
         with contextlib.suppress(Exception):  # the session may have ended before
@@ -90,12 +105,16 @@ def _delete_at_exit(spark: SparkSession, path: str) -> None:
 def stored(df: DataFrame, kind: str) -> DataFrame:
     """df written to the shared folder and read again: computed once, lineage cut.
 
-    For tables that a returned DataFrame reads: they stay until the driver's Python ends. If it
-    is killed, the application's folder below the shared one is left and may be removed.
+    For tables that a returned DataFrame reads: they stay until a ``released`` block around the
+    call ends, or else until the driver's Python does. If that is killed, the application's folder
+    below the shared one is left and may be removed.
     """
     spark = df.sparkSession
     at = shared_path(spark, kind)
-    _delete_at_exit(spark, at)
+    if _released:
+        _released[-1].append(at)
+    else:
+        _delete_at_exit(spark, at)
     df.write.parquet(at)
     return spark.read.schema(df.schema).parquet(at)
 

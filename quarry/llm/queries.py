@@ -38,15 +38,17 @@ def op3_quality_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_secret_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of every document with linked weak parts."""
-    found = secret_links.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
+    found, of = secret_links.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base, weak, links = (F.col(of)[c] for c in ("base", "weak", "links"))
+    count = lambda k: F.size(F.filter(base, lambda s: s["kind"] == k)).cast("long")
     counts = [count(k).alias(f"n_{secret_links.KINDS[k]}") for k in range(secret_links.BASE)]
     return found.select(
         "doc_id",
         *counts,
-        F.sha2(secret_links.listed(F.col("base")), 256).alias("base_sha256"),
-        secret_links.listed(F.concat("base", "links")).alias("spans"),
-        F.size("links").cast("long").alias("n_linked"),
+        F.sha2(secret_links.listed(base), 256).alias("base_sha256"),
+        secret_links.listed(F.concat(base, weak)).alias("spans"),
+        F.size(weak).cast("long").alias("n_linked"),
+        secret_links.listed_links(links).alias("credentials"),
     )
 
 

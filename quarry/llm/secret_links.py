@@ -1,16 +1,23 @@
 """Secret scans with multipart credential linking; DataFrame and SQL functions only.
 
 Three base kinds (assign, access, hex) are found in every text by regular expressions, leftmost
-and non-overlapping for each kind, inside the row and without a shuffle. Three weak kinds
-(ident, opaque, endpoint) are candidates only: one is reported when a part that complements it
-lies within ``SCOPE`` code points of it. A secret complements identifiers and endpoints; an
-identifier or an endpoint complements secrets. The interval join of parts runs as a sweep: the
-parts of a document are ordered by start, and running bounds of each role give the nearest part
-on either side, so that no pairs are made. Only parts of documents with candidates are shuffled.
+and non-overlapping for each kind, inside the row and without a shuffle. Weak kinds are looked for
+in what base spans leave: the short forms of the base kinds (an assigned value of 3 to 7
+characters, an access identifier of 8 to 15, hex digits of 16 to 31 with letters and figures),
+user names and mail addresses (ident), opaque strings, and addresses of services (endpoint). They
+are candidates only: one is reported when a part that complements it, base or weak, lies within
+``SCOPE`` code points of it. A secret complements identifiers and endpoints; an identifier or an
+endpoint complements secrets. Base parts are linked in the same way and stay in any case.
+
+The interval join of parts runs as a sweep: the parts of a document are ordered by start, and
+running bounds of each role give the nearest part on either side, so that no pairs are made. Only
+parts of documents with two or more are shuffled; the regular expressions run once.
 
 Defined results: a null text is empty and holds nothing; offsets count code points, ends are
-exclusive; parts with equal starts are ordered by kind; repeated rows are told apart by their
-place in the stored table and each give a row; columns of the input keep their names.
+exclusive; parts with equal starts are ordered by kind; of two complements equally near the one
+before counts; repeated rows are told apart by their place in the stored table and each give a
+row; an empty table gives no rows; texts are scanned whole at any length; columns of the input
+keep their names.
 """
 
 from __future__ import annotations
@@ -21,40 +28,49 @@ from pyspark.sql import functions as F
 from quarry.llm.common import fresh, let, stored, text_of
 
 SCOPE = 256
-KINDS = ("assign", "access", "hex", "ident", "opaque", "endpoint")
+KINDS = ("assign", "access", "hex", "short_assign", "short_access", "short_hex", "ident", "opaque", "endpoint")
 BASE = 3
 #: The role of each kind in a credential.
-ROLES = {"secret": (0, 2, 4), "identifier": (1, 3), "endpoint": (5,)}
+ROLES = {"secret": (0, 2, 3, 5, 7), "identifier": (1, 4, 6), "endpoint": (8,)}
 
 # Fixed patterns of the base kinds.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]{32,}"
 # Patterns of the weak kinds.
-IDENT = r"""(?i:user(?:name)?|login|account|client_?id|access_?key_?id)["']?\x20*[:=]\x20*["']?[A-Za-z0-9@._+-]{3,}"""
+SHORT_HEX = r"[0-9a-f]{16,}"
+IDENT = (
+    r"""(?i:user(?:name)?|login|account|client_?id|access_?key_?id)["']?\x20*[:=]\x20*["']?[A-Za-z0-9@._+-]{3,}"""
+    r"""|(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63})+"""
+)
 OPAQUE = r"[A-Za-z0-9+/_-]{20,}={0,2}"
-ENDPOINT = r"""[a-z][a-z0-9+.-]{1,15}://[^\x20\x09-\x0D"'<>]+"""
-
-#: Characters of ASSIGN's second group; what it matched ends a match.
-_TAIL = r"[A-Za-z0-9+/_.=-]+$"
+ENDPOINT = (
+    r"""[a-z][a-z0-9+.-]{1,15}://[^\x20\x09-\x0D"'<>\x00]+"""
+    r"""|(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?::[0-9]{1,5})?(?![0-9.]*[0-9])"""
+)
 
 
 def _patterns() -> tuple[tuple, ...]:
     """Pattern, a cheap condition that every text with a match fulfils, and which matches count."""
     sign = lambda t: t.contains("=") | t.contains(":")
     # The second group is greedy and ends the match; signs before it may also be of its kind.
-    value = lambda m: F.length(F.regexp_extract(m, ASSIGN, 2)) >= 8
+    value = lambda m: F.length(F.regexp_extract(m, ASSIGN, 2))
+    mixed = lambda m: m.rlike("[0-9]") & m.rlike("[A-Za-z]")
     return (
-        (ASSIGN, sign, value),
+        (ASSIGN, sign, lambda m: value(m) >= 8),
         (ACCESS, lambda t: t.contains("AKIA"), lambda m: F.length(m) >= 16),
         (HEX, lambda t: t.rlike(r"[0-9a-f]{32}"), lambda m: F.lit(True)),
-        (IDENT, sign, lambda m: F.lit(True)),
-        (OPAQUE, lambda t: t.rlike(r"[A-Za-z0-9+/_-]{20}"), lambda m: m.rlike("[0-9]") & m.rlike("[A-Za-z]")),
-        (ENDPOINT, lambda t: t.contains("://"), lambda m: F.lit(True)),
+        (ASSIGN, sign, lambda m: value(m).between(3, 7)),
+        (ACCESS, lambda t: t.contains("AKIA"), lambda m: F.length(m).between(8, 15)),
+        (SHORT_HEX, lambda t: t.rlike(r"[0-9a-f]{16}"), lambda m: (F.length(m) < 32) & mixed(m)),
+        (IDENT, lambda t: sign(t) | t.contains("@"), lambda m: F.lit(True)),
+        (OPAQUE, lambda t: t.rlike(r"[A-Za-z0-9+/_-]{20}"), mixed),
+        (ENDPOINT, lambda t: t.contains("://") | t.rlike(r"[0-9]\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]"), lambda m: F.lit(True)),
     )
 
 
 SPAN = "array<struct<start:bigint,kind:int,end:bigint>>"
+LINK = "array<struct<start:bigint,kind:int,end:bigint,mate:struct<start:bigint,kind:int,end:bigint>>>"
 
 
 def _sums_before(x: Column) -> Column:
@@ -115,45 +131,62 @@ def weak_spans(text: Column) -> Column:
     def blanked(t: Column, k: int) -> Column:
         return of(t) if k == BASE else let(_replaced(t, k, blank), lambda u: blanked(u, k + 1))
 
-    maybe = text.contains("=") | text.contains(":") | text.rlike("[0-9]")
+    maybe = text.contains("=") | text.contains(":") | text.contains("@") | text.rlike("[0-9]")
     return F.when(maybe, let(text, lambda t: blanked(t, 0))).otherwise(F.array().cast(SPAN))
 
 
-def linked(found: DataFrame, key: list[str], scope: int = SCOPE) -> DataFrame:
-    """The candidates of found (key, base, weak) near a complementary part: key, links."""
-    parts = found.where((F.size("weak") > 0) & (F.size("weak") + F.size("base") > 1)).select(*key, F.explode(F.concat("base", "weak")).alias("p")).select(*key, "p.*")
-    w = Window.partitionBy(*key).orderBy("start", "kind", "end")
-    near = {}
+def linked(found: DataFrame, row: str, spans: str, scope: int = SCOPE) -> DataFrame:
+    """row and links: the spans of a row that have a complement within scope, each with the nearest."""
+    parts = found.where(F.size(spans) > 1).select(F.col(row).alias("row"), F.explode(spans).alias("p")).select("row", "p.*")
+    w = Window.partitionBy("row").orderBy("start", "kind", "end")
+    own = F.struct("start", "kind", "end")
+    mate = {}
     for role, kinds in ROLES.items():
         mine = F.col("kind").isin(*kinds)
-        left = F.max(F.when(mine, F.col("end"))).over(w.rowsBetween(Window.unboundedPreceding, -1))
-        right = F.min(F.when(mine, F.col("start"))).over(w.rowsBetween(1, Window.unboundedFollowing))
-        near[role] = F.coalesce(F.col("start") - left <= scope, F.lit(False)) | F.coalesce(right - F.col("end") <= scope, F.lit(False))
-    has_secret, has_other = near["secret"], near["identifier"] | near["endpoint"]
-    links = F.when(F.col("kind").isin(*ROLES["secret"]), has_other).otherwise(has_secret)
-    return (
-        parts.withColumn("links", links)
-        .where(F.col("links") & (F.col("kind") >= BASE))
-        .groupBy(*key)
-        .agg(F.sort_array(F.collect_list(F.struct("start", "kind", "end"))).alias("links"))
-    )
+        # The last to end before, and the first to start after.
+        left = F.max(F.when(mine, F.struct(F.col("end").alias("at"), own.alias("s")))).over(w.rowsBetween(Window.unboundedPreceding, -1))
+        right = F.min(F.when(mine, F.struct(F.col("start").alias("at"), own.alias("s")))).over(w.rowsBetween(1, Window.unboundedFollowing))
+        near = lambda gap, side, s: F.when(gap <= scope, F.struct(F.greatest(gap, F.lit(0)).alias("gap"), F.lit(side).alias("side"), s.alias("s")))
+        mate[role] = F.least(near(F.col("start") - left["at"], 0, left["s"]), near(right["at"] - F.col("end"), 1, right["s"]))
+    of = F.when(F.col("kind").isin(*ROLES["secret"]), F.least(mate["identifier"], mate["endpoint"])).otherwise(mate["secret"])
+    links = parts.withColumn("mate", of["s"]).where("mate is not null")
+    return links.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("start", "kind", "end", "mate"))).cast(LINK).alias("links"))
 
 
-def scan(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """One row for each row of docs: the kept columns, base and links (arrays of spans)."""
+def scan(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> tuple[DataFrame, str]:
+    """The kept columns of each row of docs and a struct of its findings, and the struct's name.
+
+    The struct has base and weak, arrays of spans (weak ones that are linked), and links, each
+    linked span with its nearest complement.
+    """
     t = text_of(F.col(f"`{text}`"))
-    row, base, weak = fresh(docs, "row", "base", "weak")
-    found = stored(docs.select(*keep, F.monotonically_increasing_id().alias(row), base_spans(t).alias(base), weak_spans(t).alias(weak)), "secrets")
-    links = linked(found.select(row, F.col(base).alias("base"), F.col(weak).alias("weak")), [row])
-    plain = found.where(F.size(weak) == 0).withColumn("links", F.array().cast(SPAN))
-    others = found.where(F.size(weak) > 0).join(links, row, "left").withColumn("links", F.coalesce("links", F.array().cast(SPAN)))
-    return plain.unionByName(others).select(*keep, F.sort_array(base).alias("base"), "links")
+    row, base, weak, out = fresh(docs, "row", "base", "weak", "found")
+    columns = [F.col(f"`{c}`") for c in keep]
+    held = stored(docs.select(*columns, F.monotonically_increasing_id().alias(row), F.sort_array(base_spans(t)).alias(base), weak_spans(t).alias(weak)), "secrets")
+    several = F.size(base) + F.size(weak) > 1
+    links = linked(held.where(several).select(F.col(row).alias("row"), F.concat(base, weak).alias("spans")), "row", "spans")
+    plain = held.where(~several).withColumn(out, F.struct(F.col(base).alias("base"), F.array().cast(SPAN).alias("weak"), F.array().cast(LINK).alias("links")))
+    links = links.select(F.col("row").alias(f"{row}_"), F.struct("links").alias(out))
+    others = held.where(several).join(links, F.col(row) == F.col(f"{row}_"), "left")
+    every = F.coalesce(F.col(out)["links"], F.array().cast(LINK))
+    only = F.transform(F.filter(every, lambda x: x["kind"] >= BASE), lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end")))
+    others = others.withColumn(out, F.struct(F.col(base).alias("base"), only.alias("weak"), every.alias("links")))
+    return plain.select(*columns, out).unionByName(others.select(*columns, out)), out
+
+
+def _named(s: Column) -> Column:
+    names = F.array(*[F.lit(k) for k in KINDS])
+    return F.concat_ws(":", names[s["kind"]], s["start"].cast("string"), s["end"].cast("string"))
 
 
 def listed(spans: Column) -> Column:
     """Spans as kind:start:end, joined by commas, by start and then kind."""
-    names = F.array(*[F.lit(k) for k in KINDS])
-    return F.array_join(F.transform(F.sort_array(spans), lambda s: F.concat_ws(":", names[s["kind"]], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    return F.array_join(F.transform(F.sort_array(spans), _named), ",")
+
+
+def listed_links(links: Column) -> Column:
+    """Linked spans and their complements as kind:start:end>kind:start:end, joined by commas."""
+    return F.array_join(F.transform(links, lambda x: F.concat(_named(x), F.lit(">"), _named(x["mate"]))), ",")
 
 
 def _cut(text: Column, spans: Column, mark: str) -> Column:
@@ -172,24 +205,13 @@ def _cut(text: Column, spans: Column, mark: str) -> Column:
 def redacted(docs: DataFrame, text: str = "text", length: str | None = None, mark: str = "[SECRET]") -> DataFrame:
     """docs with every reported span of the text replaced by the mark; null texts stay null.
 
-    Texts without candidates are rewritten in place. Those with candidates (few) are joined
-    with their links by a digest of the text, so that repeated rows agree.
+    A length column, if named and there, counts the code points of texts that are changed.
     """
-    columns = docs.columns
-    raw = F.col(f"`{text}`")
-    weak, base, digest, new = fresh(docs, "weak", "base", "digest", "new")
-    split = docs.withColumn(weak, weak_spans(text_of(raw)))
-
-    def plain(t: Column, k: int = 0) -> Column:
-        return t if k == BASE else let(_replaced(t, k, lambda m: F.lit(mark)), lambda u: plain(u, k + 1))
-
-    simple = split.where(F.size(weak) == 0).withColumn(new, plain(raw))
-    rest = split.where(F.size(weak) > 0).withColumn(base, base_spans(text_of(raw))).withColumn(digest, F.sha2(text_of(raw), 256))
-    each = rest.groupBy(digest).agg(F.first(base).alias("base"), F.first(weak).alias("weak"))
-    joined = rest.join(linked(each, [digest]), digest, "left")
-    both = F.concat(F.col(base), F.coalesce("links", F.array().cast(SPAN)))
-    joined = joined.withColumn(new, F.when(F.size(both) > 0, _cut(text_of(raw), both, mark)).otherwise(raw))
-    out = simple.select(*docs.columns, new).unionByName(joined.select(*docs.columns, new)).withColumn(text, F.col(new))
-    if length is not None and length in columns:
-        out = out.withColumn(length, F.when(F.col(new).isNull(), F.col(length)).otherwise(F.length(new).cast(docs.schema[length].dataType)))
-    return out.select(*columns)
+    out, found = scan(docs, text, tuple(docs.columns))
+    raw, (new,) = F.col(f"`{text}`"), fresh(out, "new")
+    spans = F.concat(F.col(found)["base"], F.col(found)["weak"])
+    out = out.withColumn(new, F.when(F.size(spans) > 0, _cut(text_of(raw), spans, mark)).otherwise(raw))
+    changes = {text: F.col(new)}
+    if length is not None and length in docs.columns:
+        changes[length] = F.when(F.size(spans) > 0, F.length(new).cast(docs.schema[length].dataType)).otherwise(F.col(f"`{length}`"))
+    return out.select(*[changes.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns])
