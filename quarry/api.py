@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 from datetime import UTC, datetime
+from uuid import UUID
 
 from pyspark.sql import DataFrame
 
@@ -16,11 +17,15 @@ from quarry.sources.landed import check_language
 
 @dataclass(frozen=True)
 class Market:
-    """The tables that facades read: catalogs by language, listings, sheets of all securities."""
+    """The tables that facades read: catalogs by language, listings, sheets of all securities.
+
+    With check_ids, as for real listings, the id of a security must be a UUID where its sheet is asked for.
+    """
 
     catalog: DataFrame
     listings: DataFrame
     sheets: DataFrame
+    check_ids: bool = True
 
     def of(self, language: str) -> DataFrame:
         df = C.of_language(self.catalog, language)
@@ -83,6 +88,11 @@ class Security:
     def _sheets(self) -> DataFrame:
         """The sheets of the first listing of this symbol."""
         ident = C.lookup(self.market.listings, self.info["symbol"], "name").select("security_id").first()
+        if ident is not None and self.market.check_ids:
+            try:
+                UUID(str(ident[0]))
+            except ValueError:
+                raise ValueError(f"the id of {self.info['symbol']} is no UUID: {ident[0]!r}") from None
         df = None if ident is None else self.market.sheets.where(self.market.sheets["security_id"] == ident[0])
         if df is None or df.isEmpty():
             raise ValueError(f"no financial sheet for {self.info['symbol']}")

@@ -13,6 +13,7 @@ from quarry.operators import panel as P
 from quarry.operators.search import search
 from quarry.plans import adapter as A
 from quarry.plans import analytics as R
+from quarry.sources import landed
 from quarry.sources import schema as S
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -80,17 +81,18 @@ def company_profile(spark, d):
 
 
 def _listings(spark, d):
-    return A.securities(spark, d).where("ord % 10 <> 3").select("ord", F.col("symbol").alias("name"), "security_id")
+    return A.securities(spark, d).select("ord", F.col("symbol").alias("name"), "security_id")
 
 
-@query("select s.symbol, h.fiscal, h.quarter, h.revenue from securities s join sheets h using (security_id) where s.ord % 10 <> 3")
+@query("select s.symbol, h.fiscal, h.quarter, h.revenue from securities s join sheets h using (security_id)")
 def symbol_to_sheet(spark, d):
     return C.to_sheets(A.securities(spark, d).select("symbol"), _listings(spark, d), A.sheets(spark, d)).select("symbol", "fiscal", "quarter", "revenue")
 
 
 @query("select symbol from securities where ord % 10 = 3")
 def symbols_without_sheet(spark, d):
-    return C.without_sheets(A.securities(spark, d), _listings(spark, d), A.sheets(spark, d)).select("symbol")
+    # The tables have a listing for each security; a tenth of them is left out here to have gaps to find.
+    return C.without_sheets(A.securities(spark, d), _listings(spark, d).where("ord % 10 <> 3"), A.sheets(spark, d)).select("symbol")
 
 
 @query("select symbol, name as name_en, concat('ท ', name) as name_th from securities")
@@ -260,20 +262,20 @@ def search_blank(spark, d):
     return search(A.parts(spark, d), "  ", 7).select("ord", "symbol", "name")
 
 
-def _lcs(q: str, strings: str) -> str:
-    """SQL for lcs(s, n): the common subsequence of q with each string, a character of q at a time."""
-    return f"""dp(s, i, r) as (select s, 0, list_transform(range(len(s) + 1), lambda x: cast(0 as bigint)) from ({strings})
-      union all select s, i + 1, [cast(0 as bigint)] || list_transform(range(1, len(s) + 1), lambda j: list_max(list_transform(range(1, j + 1),
-        lambda k: greatest(r[k + 1], case when s[k] = substring('{q}', cast(i + 1 as int), 1) then r[k] + 1 else 0 end)))) from dp where i < len('{q}')),
-    lcs as (select s, r[len(r)] as n from dp where i = len('{q}'))"""
+def _lcs(pairs: str) -> str:
+    """SQL for lcs(a, b, n): the common subsequence of pairs of strings, a character of a at a time."""
+    return f"""dp(a, b, i, r) as (select a, b, 0, list_transform(range(len(b) + 1), lambda x: cast(0 as bigint)) from ({pairs})
+      union all select a, b, i + 1, [cast(0 as bigint)] || list_transform(range(1, len(b) + 1), lambda j: list_max(list_transform(range(1, j + 1),
+        lambda k: greatest(r[k + 1], case when b[k] = substring(a, cast(i + 1 as int), 1) then r[k] + 1 else 0 end)))) from dp where i < len(a)),
+    lcs as (select a, b, 2e2 * r[len(r)] / (len(a) + len(b)) as near from dp where i = len(a))"""
 
 
 _Q = "brnd#13"
 
 
 @query(
-    f"""with recursive {_lcs(_Q, "select distinct lower(symbol) as s from parts")}
-    select ord, symbol, round(200.0 * n / (len(s) + {len(_Q)}), 6) as ratio from parts join lcs on s = lower(symbol) where 200.0 * n / (len(s) + {len(_Q)}) > 60"""
+    f"""with recursive {_lcs(f"select distinct '{_Q}' as a, lower(symbol) as b from parts")}
+    select ord, symbol, round(near, 6) as ratio from parts join lcs on b = lower(symbol) where near > 60"""
 )
 def search_fuzzy_symbol(spark, d):
     df = A.parts(spark, d)
@@ -282,28 +284,100 @@ def search_fuzzy_symbol(spark, d):
 
 
 _N = "cold widget"
-#: All windows of a name as the partial ratio takes them; w is the shorter length, b whether both directions are.
-_WINDOWS = f"""names as (select distinct lower(name) as nm from parts),
-    wins as (select nm, substring(nm, cast(greatest(k, 1) as int), cast(least(k + {len(_N)} - 1, len(nm)) - greatest(k, 1) + 1 as int)) as s, '{_N}' as q
-      from names, lateral (select unnest(range(2 - {len(_N)}, len(nm) + 1)) as k) where len(nm) >= {len(_N)})"""
+
+
+def _windows(q: str) -> str:
+    """SQL for wins(nm, a, b): the shorter of query and name with each window of the longer; both ways if they are of one length."""
+    return f"""names as (select distinct lower(name) as nm from parts where coalesce(name, '') <> ''),
+    sides as (select nm, '{q}' as a, nm as long from names where len(nm) >= {len(q)} union all select nm, nm, '{q}' from names where len(nm) <= {len(q)}),
+    wins as (select nm, a, substring(long, cast(greatest(k, 1) as int), cast(least(k + len(a) - 1, len(long)) - greatest(k, 1) + 1 as int)) as b
+      from sides, lateral (select unnest(range(2 - len(a), len(long) + 1)) as k))"""
+
+
+_BEST = "best as (select nm, max(near) as near from wins join lcs using (a, b) group by nm)"
 
 
 @query(
-    f"""with recursive {_WINDOWS}, {_lcs(_N, "select distinct s from wins")},
-    best as (select nm, max(200.0 * n / (len(s) + {len(_N)})) as ratio from wins join lcs using (s) group by nm)
-    select ord, name, round(ratio, 6) as ratio from parts join best on nm = lower(name) where len(name) > {len(_N)} and ratio > 60"""
+    f"""with recursive {_windows(_N)}, {_lcs("select distinct a, b from wins")}, {_BEST}
+    select ord, name, round(near, 6) as ratio from parts join best on nm = lower(name) where near > 60"""
 )
 def search_fuzzy_name(spark, d):
     df = A.parts(spark, d)
-    names = df.select("name").distinct().where(F.length("name") > len(_N)).withColumn("ratio", similarity.partial_ratio(F.lit(_N), F.lower("name"))).where("ratio > 60")
+    names = df.select("name").distinct().withColumn("ratio", similarity.partial_ratio(F.lit(_N), F.lower("name"))).where("ratio > 60")
     return rounded(df.select("ord", "name").join(names, "name").select("ord", "name", "ratio"))
 
 
-@query()
+def _ranked(q: str, n: int) -> str:
+    """SQL for the whole search: literal scores, else those of similar symbols and names."""
+    part = PART_SCORE.format(q=q)
+    return f"""with recursive {_windows(q)}, {_lcs(f"select a, b from wins union select '{q}', lower(symbol) from parts")}, {_BEST},
+    both_ as (select ord, symbol, name, {part} as literal, coalesce(l.near, 0) as sr, coalesce(best.near, 0) as nr from parts
+      left join lcs l on l.a = '{q}' and l.b = lower(symbol) left join best on nm = lower(name)),
+    found as (select ord, symbol, name, coalesce(literal, greatest(case when sr > 60 then 700 + sr else 0 end, case when nr > 60 then 500 + nr else 0 end)) as score from both_)
+    select ord, symbol, name, round(cast(score as double), 6) as score from found where score > 0 order by found.score desc, ord limit {n}"""
+
+
+@query(_ranked(_N, 25))
 def search_ranked(spark, d):
     return _hits(search(A.parts(spark, d), _N, 25))
 
 
+@query(_ranked("brand#1x", 40))
+def search_ranked_symbols(spark, d):
+    return _hits(search(A.parts(spark, d), "Brand#1x", 40))
+
+
+# Payloads, made from the tables as they would be landed
+
+
+def _answers(items: DataFrame) -> DataFrame:
+    """(path, value): for each path its items, JSON texts in order of ord, as an answer."""
+    data = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "item"))), lambda x: x["item"]), ",")
+    return items.groupBy("path").agg(F.concat(F.lit('{"status":true,"statusCode":200,"data":['), data, F.lit("]}")).alias("value"))
+
+
+@query("select 'en' as language, symbol, name, market, industry, sector, cast(ord as varchar) as zip from securities")
+def landed_catalog(spark, d):
+    df = A.securities(spark, d)
+    more = {"address": F.lit("x"), "zip": F.col("ord"), "tel": F.lit(""), "fax": F.lit(""), "web": F.lit(""), "unknown": F.lit(1)}
+    item = F.to_json(F.struct("symbol", "name", "market", "industry", "sector", *[c.alias(n) for n, c in more.items()]), {"ignoreNullFields": "false"})
+    array = F.concat(F.lit('[7,"x",'), F.array_join(F.collect_list(item), ","), F.lit("]"))
+    return landed.securities(spark, df.groupBy(F.col("market").alias("path")).agg(array.alias("value")), "en").select("language", "symbol", "name", "market", "industry", "sector", "zip")
+
+
+@query("select symbol as name, cast(security_id as varchar) as security_id, sector as board from securities")
+def landed_listings(spark, d):
+    df = A.securities(spark, d)
+    item = F.to_json(F.struct(F.col("symbol").alias("name"), F.col("name").alias("th_name"), F.col("name").alias("en_name"), F.lit("TH").alias("exchange"), "security_id", F.col("sector").alias("board")))
+    return landed.listings(spark, _answers(df.select(F.col("market").alias("path"), "ord", item.alias("item")))).select("name", "security_id", F.col("extra")["board"].alias("board"))
+
+
+def _sheet_items(spark, d) -> DataFrame:
+    df = A.sheets(spark, d)
+    number = lambda c: F.format_number(c, 4)  # noqa: E731  text with thousands separators, as in real sheets
+    fields = (F.col("security_id").cast("string").alias("security_id"), F.col("fiscal").cast("string").alias("fiscal"), "quarter", number("revenue").alias("revenue"), "close", F.coalesce(F.col("roe").cast("string"), F.lit("-")).alias("roe"))
+    return df.select(F.concat(F.lit("sheet "), "security_id").alias("path"), (F.col("fiscal") * 10 + F.col("quarter")).alias("ord"), F.to_json(F.struct(*fields)).alias("item"))
+
+
+@query("select cast(security_id as varchar) as security_id, fiscal, quarter, round(revenue, 2) as revenue, round(close, 6) as close, round(roe, 6) as roe from sheets")
+def landed_sheets(spark, d):
+    raw = numbers.typed(landed.sheets_raw(spark, _answers(_sheet_items(spark, d))))
+    return rounded(raw.select("security_id", "fiscal", "quarter", "revenue", "close", "roe"), revenue=2)
+
+
+@query(
+    """select concat('sheet ', cast(security_id as varchar)) as path, case security_id % 6 when 0 then 'statusCode is 500' when 1 then 'no data' when 2 then 'missing or null: fiscal'
+      when 3 then 'not an integer: quarter' else 'empty payload' end as fault from (select distinct security_id from sheets) where security_id % 6 <> 5"""
+)
+def landed_faults(spark, d):
+    kind = F.regexp_extract("path", r"(\d+)", 1).cast("int") % 6
+    broken = (
+        F.when(kind == 0, F.regexp_replace("value", '"statusCode":200', '"statusCode":500')).when(kind == 1, F.lit('{"status":true,"statusCode":200,"data":[]}'))
+        .when(kind == 2, F.regexp_replace("value", '"fiscal"', '"year"')).when(kind == 3, F.regexp_replace("value", r'"quarter":(\d)', '"quarter":$1.5')).when(kind == 4, F.lit(" ")).otherwise(F.col("value"))
+    )
+    return landed.faults(spark, _answers(_sheet_items(spark, d)).withColumn("value", broken), "sheets")
+
+
 @query("select symbol, name, case when regexp_matches(name, '[\\x{0E00}-\\x{0E7F}]') then 'th' else 'en' end as found from (select symbol, case when ord % 2 = 0 then concat('ท ', name) else name end as name from securities)")
 def detect_language(spark, d):
     df = A.securities(spark, d).select("symbol", F.when(F.col("ord") % 2 == 0, F.concat(F.lit("ท "), "name")).otherwise(F.col("name")).alias("name"))
@@ -405,14 +479,21 @@ def dividend_sectors(spark, d):
     return C.counts(R.dividends(A.securities(spark, d), A.sheets(spark, d)), "sector").limit(5)
 
 
-@query(
-    """with cut as (select * from sheets where quarter <> 9 and fiscal <= 2000),
+def _growth(revenue: int, profit: int) -> str:
+    return f"""with cut as (select * from sheets where quarter <> 9),
     last as (select *, row_number() over (partition by security_id order by fiscal desc, quarter desc) as place, count(*) over (partition by security_id) as n from cut)
     select security_id, symbol, name, sector, market, round(revenue_yoy, 6) as revenue_yoy, round(net_profit_yoy, 6) as net_profit_yoy from securities join last using (security_id)
-    where place = 1 and n >= 4 and revenue_yoy >= 20 and net_profit_yoy >= 25"""
-)
+    where place = 1 and n >= 4 and revenue_yoy >= {revenue} and net_profit_yoy >= {profit}"""
+
+
+@query(_growth(20, 25))
 def growth_screen(spark, d):
-    return rounded(R.growth_screen(A.securities(spark, d), A.sheets(spark, d).where("fiscal <= 2000")))
+    return rounded(R.growth_screen(A.securities(spark, d), A.sheets(spark, d)))
+
+
+@query(_growth(-100, -1000))
+def growth_screen_loose(spark, d):
+    return rounded(R.growth_screen(A.securities(spark, d), A.sheets(spark, d), -100, -1000))
 
 
 _PAIRS = """last8 as (select * from (select *, row_number() over (partition by security_id order by fiscal desc, quarter desc) as place from sheets where quarter <> 9 and revenue_yoy is not null) where place <= 8),

@@ -6,7 +6,11 @@ in one distributed scan and keeps the order of the source in ``ord``.
 
 Checks follow the payload contracts: required keys must be there, integers may come as text of
 an integer, numbers in text fields are taken as text, unknown keys are ignored (listings keep
-them in ``extra``). Array items that are no objects are dropped.
+them in ``extra``). Array items that are no objects are dropped. One item at fault rejects its whole
+payload: the array is checked before its items become rows, so that no projection or filter on
+the rows leaves a check out. Readers raise; ``faults`` lists payloads and what is wrong with them.
+
+Readers also take payloads as a DataFrame (path, value), wherever these were landed.
 """
 
 from __future__ import annotations
@@ -32,16 +36,18 @@ def check_language(language: str) -> str:
     return language
 
 
-def _whole(spark: SparkSession, path: str) -> DataFrame:
-    """(path, value): each file as one text."""
-    df = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.trim("value").alias("value"))
-    return df.where("value <> ''")
+def payloads(spark: SparkSession, path: str) -> DataFrame:
+    """(path, value): each file as one text; files of no bytes too, which Spark's scans leave out."""
+    texts = spark.read.text(path, wholetext=True)
+    files = spark.createDataFrame([(f.replace("file:///", "file:/"),) for f in texts.inputFiles()], "path string")  # as in _metadata
+    at = F.col("_metadata.file_path").alias("path")
+    empty = files.join(spark.read.format("binaryFile").load(path).select(at), "path", "left_anti")  # reads no contents
+    rows = texts.select(at, F.btrim("value", F.lit(" \t\r\n")).alias("value"))
+    return rows.unionByName(empty.select("path", F.lit("").alias("value")))
 
 
-def _fail_if(condition: Column, message: str | Column, value: Column) -> Column:
-    """value, or an error at run time where the condition holds."""
-    text = F.lit(message) if isinstance(message, str) else message
-    return F.when(condition, F.raise_error(text)).otherwise(value)
+def _given(spark: SparkSession, source: str | DataFrame) -> DataFrame:
+    return payloads(spark, source) if isinstance(source, str) else source
 
 
 def _objects(array_text: Column) -> Column:
@@ -50,70 +56,91 @@ def _objects(array_text: Column) -> Column:
     return F.filter(items, lambda x: F.substring(F.ltrim(x), 1, 1) == "{")
 
 
-def _required(item: Column, names: tuple[str, ...], optional: tuple[str, ...] = ()) -> Column:
-    """An item's values as text, with an error where a key is missing or a required value is null."""
-    keys = F.json_object_keys(item)
-
-    def one(name: str) -> Column:
+def _item_fault(item: Column, names: tuple[str, ...], optional: tuple[str, ...], integers: tuple[str, ...]) -> Column:
+    """What is wrong with an item: a missing key, a null where a value is required, no integer."""
+    keys, found = F.json_object_keys(item), []
+    for name in names:
+        bad = ~F.coalesce(F.array_contains(keys, name), F.lit(False))
         value = F.get_json_object(item, f"$.{name}")
-        bad = ~F.array_contains(keys, name)
-        if name not in optional:
-            bad = bad | value.isNull()
-        return _fail_if(bad, f"missing or null: {name}", value).alias(name)
+        found.append(F.when(bad if name in optional else bad | value.isNull(), F.lit(f"missing or null: {name}")))
+        if name in integers:
+            whole = value.rlike(r"^\s*[+-]?\d+\s*$") & value.try_cast("int").isNotNull()
+            found.append(F.when(~F.coalesce(whole, F.lit(False)), F.lit(f"not an integer: {name}")))
+    return F.coalesce(*found)
+
+
+def _first_fault(items: Column, names: tuple[str, ...], optional: tuple[str, ...] = (), integers: tuple[str, ...] = ()) -> Column:
+    return F.get(F.filter(F.transform(items, lambda x: _item_fault(x, names, optional, integers)), lambda m: m.isNotNull()), 0)
+
+
+#: Each kind of payload: whether it is an answer {status, statusCode, data}, its items' keys, those that may be null, integers.
+KINDS = {
+    "catalog": (False, S.SECURITY_FIELDS, S.SECURITY_OPTIONAL, ()),
+    "listings": (True, S.LISTING_FIELDS, (), ()),
+    "sheets": (True, S.KEYS, (), ("fiscal", "quarter")),
+}
+
+
+def _items(kind: str) -> Column:
+    return _objects(F.get_json_object("value", "$.data") if KINDS[kind][0] else F.col("value"))
+
 
-    return F.struct(*[one(n) for n in names])
+def _fault(kind: str) -> Column:
+    """What is wrong with a payload, null if nothing is."""
+    answer, names, optional, integers = KINDS[kind]
+    items, code = _items(kind), F.coalesce(F.get_json_object("value", "$.statusCode"), F.lit("missing"))
+    fault = F.when(~F.coalesce(F.col("value").rlike(r"\S"), F.lit(False)), F.lit("empty payload"))
+    if answer:
+        fault = fault.when(code != "200", F.concat(F.lit("statusCode is "), code)).when(F.coalesce(F.size(items), F.lit(0)) <= 0, F.lit("no data"))
+    else:
+        fault = fault.when(items.isNull(), F.lit("no array"))
+    return fault.otherwise(_first_fault(items, names, optional, integers))
 
 
-def _integer(text: Column, name: str) -> Column:
-    """An integer given as a number or as text; anything else is an error."""
-    return _fail_if(~F.coalesce(text.rlike(r"^\s*[+-]?\d+\s*$"), F.lit(False)), f"not an integer: {name}", text.try_cast("int"))
+def faults(spark: SparkSession, source: str | DataFrame, kind: str) -> DataFrame:
+    """(path, fault) of the payloads that break their contract."""
+    return _given(spark, source).select("path", _fault(kind).alias("fault")).where("fault is not null")
 
 
-def securities(spark: SparkSession, path: str, language: str) -> DataFrame:
+def _rows(spark: SparkSession, source: str | DataFrame, kind: str) -> DataFrame:
+    """(path, ord, item) of sound payloads; an error for any other."""
+    df = _given(spark, source).withColumn("_fault", _fault(kind))
+    checked = F.when(F.col("_fault").isNotNull(), F.raise_error(F.concat("_fault", F.lit(" in "), "path"))).otherwise(_items(kind))
+    return df.select("path", F.posexplode(checked).alias("ord", "item"))
+
+
+def _fields(item: Column, names: tuple[str, ...]) -> Column:
+    return F.struct(*[F.get_json_object(item, f"$.{n}").alias(n) for n in names])
+
+
+def securities(spark: SparkSession, source: str | DataFrame, language: str) -> DataFrame:
     """The catalog of one language: language, ord and the fields of a security.
 
-    The file is a JSON array; ord is the place of an object among its objects.
+    A payload is a JSON array; ord is the place of an object among its objects.
     """
     check_language(language)
-    rows = _whole(spark, path).select(F.posexplode(_objects(F.col("value"))).alias("ord", "item"))
-    rows = rows.select(F.lit(language).alias("language"), F.col("ord").cast("long").alias("ord"), _required(F.col("item"), S.SECURITY_FIELDS, S.SECURITY_OPTIONAL).alias("s"))
+    rows = _rows(spark, source, "catalog").select(F.lit(language).alias("language"), F.col("ord").cast("long").alias("ord"), _fields(F.col("item"), S.SECURITY_FIELDS).alias("s"))
     return rows.select("language", "ord", "s.*")
 
 
-def metadata(spark: SparkSession, path: str) -> DataFrame:
+def metadata(spark: SparkSession, source: str | DataFrame) -> DataFrame:
     """The metadata document as one row with nested columns."""
-    return _whole(spark, path).select(F.from_json("value", S.METADATA, {"mode": "FAILFAST"}).alias("m")).select("m.*")
-
-
-def _envelope(spark: SparkSession, path: str) -> DataFrame:
-    """(path, item, ord) of the data of answers {status, statusCode, data}; checked."""
-    df = _whole(spark, path)
-    code = F.get_json_object("value", "$.statusCode")
-    items = _objects(F.get_json_object("value", "$.data"))
-    checked = _fail_if(F.coalesce(F.size(items), F.lit(0)) <= 0, "no data", items)
-    checked = _fail_if(F.coalesce(code, F.lit("")) != "200", F.concat(F.lit("statusCode is "), F.coalesce(code, F.lit("missing"))), checked)
-    return df.select("path", F.posexplode(checked).alias("ord", "item"))
+    value = F.when(~F.coalesce(F.col("value").rlike(r"\S"), F.lit(False)), F.raise_error(F.concat(F.lit("empty payload in "), "path"))).otherwise(F.col("value"))
+    return _given(spark, source).select(F.from_json(value, S.METADATA, {"mode": "FAILFAST"}).alias("m")).select("m.*")
 
 
-def listings(spark: SparkSession, path: str) -> DataFrame:
+def listings(spark: SparkSession, source: str | DataFrame) -> DataFrame:
     """Symbols (name) with their security ids; other keys in the map extra."""
-    rows = _envelope(spark, path)
     extra = F.map_filter(F.from_json("item", T.MapType(T.StringType(), T.StringType())), lambda k, v: ~k.isin(*S.LISTING_FIELDS))
-    rows = rows.select(F.col("ord").cast("long").alias("ord"), _required(F.col("item"), S.LISTING_FIELDS).alias("s"), extra.alias("extra"))
+    rows = _rows(spark, source, "listings").select(F.col("ord").cast("long").alias("ord"), _fields(F.col("item"), S.LISTING_FIELDS).alias("s"), extra.alias("extra"))
     return rows.select("ord", "s.*", "extra")
 
 
-def sheets_raw(spark: SparkSession, path: str) -> DataFrame:
-    """All financial sheets below a path, metrics as text; quarter 9 is the full year."""
-    item = F.col("item")
-    rows = _envelope(spark, path).select("ord", _required(item, S.KEYS).alias("k"), F.struct(*[F.get_json_object(item, f"$.{m}").alias(m) for m in S.METRICS]).alias("m"))
-    return rows.select(
-        F.col("k.security_id"),
-        _integer(F.col("k.fiscal"), "fiscal").alias("fiscal"),
-        _integer(F.col("k.quarter"), "quarter").alias("quarter"),
-        "m.*",
-        F.col("ord").cast("long").alias("ord"),
-    )
+def sheets_raw(spark: SparkSession, source: str | DataFrame) -> DataFrame:
+    """All financial sheets, metrics as text; quarter 9 is the full year."""
+    rows = _rows(spark, source, "sheets").select("ord", _fields(F.col("item"), (*S.KEYS, *S.METRICS)).alias("s"))
+    whole = lambda n: F.trim(f"s.{n}").cast("int").alias(n)
+    return rows.select("s.security_id", whole("fiscal"), whole("quarter"), *[f"s.{m}" for m in S.METRICS], F.col("ord").cast("long").alias("ord"))
 
 
 def from_rows(spark: SparkSession, rows: list[dict], names: tuple[str, ...]) -> DataFrame:

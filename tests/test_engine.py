@@ -21,12 +21,14 @@ CATALOG = [
     ("th", 1, "CPALL", "ซีพี ออลล์", "พาณิชย์", "SET", None, ""),
 ]
 
+U1, U2 = "3f2504e0-4f89-41d3-9a0c-0305e82c3301", "3f2504e0-4f89-41d3-9a0c-0305e82c3302"
+
 
 @pytest.fixture(scope="module")
 def market(spark):
     cat = spark.createDataFrame(CATALOG, "language string, ord long, symbol string, name string, sector string, market string, industry string, web string")
-    listings = spark.createDataFrame([("KBANK", "u1", 0), ("CPALL", "u2", 1), ("KBANK", "u9", 2)], "name string, security_id string, ord long")
-    rows = [("u1", y, q, str(100 * (y - 2014) + q), "1,5" if q == 9 else "-", "7") for y in range(2020, 2014, -1) for q in (9, 4, 2, 3, 1)]
+    listings = spark.createDataFrame([("KBANK", U1, 0), ("CPALL", U2, 1), ("KBANK", "u9", 2), ("SCB", "u4", 3)], "name string, security_id string, ord long")
+    rows = [(U1, y, q, str(100 * (y - 2014) + q), "1,5" if q == 9 else "-", "7") for y in range(2020, 2014, -1) for q in (9, 4, 2, 3, 1)]
     sheets = spark.createDataFrame(rows, "security_id string, fiscal int, quarter int, revenue string, roe string, close string")
     return Market(cat, listings, sheets)
 
@@ -51,6 +53,8 @@ def test_security(market):
         Security(market, "NONE")
     with pytest.raises(ValueError):
         _ = k.quarter_dataframe  # listed, but without a sheet
+    with pytest.raises(ValueError, match="no UUID"):
+        _ = Security(market, "SCB").quarter_dataframe
     with pytest.raises(AttributeError):
         _ = k.zip
 

@@ -62,6 +62,34 @@ def test_sheet_contract(spark, tmp_path, payload):
         landed.sheets_raw(spark, put(tmp_path, "s.json", payload)).collect()
 
 
+def test_one_bad_item_rejects_its_payload_whatever_is_read(spark, tmp_path):
+    bad = security(symbol="B")
+    del bad["market"]
+    df = landed.securities(spark, put(tmp_path, "c.json", [security(symbol="A"), bad]), "en")
+    for view in (df.select("symbol"), df.where("symbol = 'A'").select("ord"), df.groupBy().count(), df.limit(1)):
+        with pytest.raises(PySparkException, match="missing or null: market"):
+            view.collect()
+    put(tmp_path, "s/a.json", {"status": True, "statusCode": 200, "data": [sheet(), sheet(quarter=2.5)]})
+    with pytest.raises(PySparkException, match="not an integer: quarter"):
+        landed.sheets_raw(spark, str(tmp_path / "s")).select("revenue").collect()
+
+
+@pytest.mark.parametrize("read", [lambda s, p: landed.securities(s, p, "en"), landed.listings, landed.sheets_raw, landed.metadata])
+def test_an_empty_payload_is_an_error(spark, tmp_path, read):
+    (tmp_path / "e.json").write_text(" \n")
+    with pytest.raises(PySparkException, match="empty payload in .*e.json"):
+        read(spark, str(tmp_path / "e.json")).collect()
+
+
+def test_faults_are_listed_by_path(spark, tmp_path):
+    put(tmp_path, "s/a.json", {"status": True, "statusCode": 200, "data": [sheet()]})
+    put(tmp_path, "s/b.json", {"status": True, "data": [sheet()]})
+    put(tmp_path, "s/c.json", [1])
+    (tmp_path / "s/d.json").write_text("")
+    got = {r.path[-6:]: r.fault for r in landed.faults(spark, str(tmp_path / "s"), "sheets").collect()}
+    assert got == {"b.json": "statusCode is missing", "c.json": "statusCode is missing", "d.json": "empty payload"}
+
+
 def test_listings_keep_other_keys(spark, tmp_path):
     one = {"name": "PTT", "th_name": "ปตท", "en_name": "Ptt", "security_id": "u", "exchange": "TH", "rank": 3}
     r = landed.listings(spark, put(tmp_path, "l.json", {"status": True, "statusCode": 200, "data": [one]})).first()
