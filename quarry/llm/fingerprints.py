@@ -5,13 +5,16 @@ the hash range, so that its size follows the text, sketches of parts merge by un
 share of one sketch found in another estimates containment even between very unequal texts.
 
 ``with_next`` gives each document its neighbour in descending order of id with one shuffle of
-the texts: ids fall into equal cells, consecutive cells form groups of bounded size, and the
-first document of a group is also dealt to the group before it.
+the texts: a range partitioning of the ids alone sets the bounds of groups of about equal numbers
+of documents, whatever their ids are, and the first document of a group is also dealt to the group
+before it. Where one id (or none) has more rows than a group should, the bounds are set by id and a
+digest of the text. The driver receives a bound for each group, 2 for each shuffle partition.
 
 Defined results: a null text is empty; a text of one to four words has one shingle, an empty
 text has none and an empty sketch; a text whose hashes all lie above the threshold keeps its
 smallest one; two empty sketches are alike (1.0), an empty and another one are not (0.0). Rows
-of equal id are ordered by a digest of their text; a null id comes last. Columns of the input
+of equal id are ordered by a digest of their text; a null id comes last; rows equal in both are
+one group's. An empty table gives no rows; texts count whole at any length. Columns of the input
 keep their names.
 """
 
@@ -24,8 +27,8 @@ from quarry.llm.common import SHINGLE_WORDS, fresh, let, text_of, words_of
 
 #: The fraction of the hash range that is kept: one hash of so many.
 SCALED = 4
-#: Cells into which the range of ids is cut at least and at most, and documents for each.
-CELLS, MOST_CELLS, DOCS_A_CELL = 1 << 10, 1 << 16, 1 << 10
+#: Groups of documents for each shuffle partition, and documents in one at least.
+GROUPS, LEAST_DOCS = 2, 16
 
 LOWEST = -(1 << 63)
 LONGS = "array<bigint>"
@@ -74,61 +77,56 @@ def containment(a: Column, b: Column) -> Column:
     return F.when(F.size(a) == 0, F.lit(1.0)).otherwise((F.size(F.array_intersect(a, b)) / F.size(a)).cast("double"))
 
 
-def _groups(docs: DataFrame, ident: str) -> tuple[Column, dict[int, int]] | None:
-    """The group of an id (groups follow the order of ids), and the largest id of each group.
+def written(sketch_: Column) -> Column:
+    """A sketch as text: its hashes in order, joined by commas."""
+    return F.array_join(sketch_.cast("array<string>"), ",")
 
-    Two passes over ids alone. What the driver receives is a row for each cell, at most
-    ``MOST_CELLS``.
-    """
-    spark = docs.sparkSession
-    ids = docs.select(F.col(f"`{ident}`").cast("long").alias("id")).where("id is not null")
-    low, high, n = ids.agg(F.min("id"), F.max("id"), F.count("*")).first()
-    if not n:
-        return None
-    cells = max(CELLS, min(MOST_CELLS, n // DOCS_A_CELL))
-    width = max(1, -(-(high - low + 1) // cells))
-    # In doubles: equal ids share a cell and cells follow the order of ids, at any range of them.
-    cell = lambda c: F.floor((c.cast("double") - F.lit(float(low))) / F.lit(float(width))).cast("int")
-    counts = sorted(ids.groupBy(cell(F.col("id")).alias("cell")).agg(F.count("*").alias("n"), F.max("id").alias("top")).collect())
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    fill = max(16, n // (8 * tasks))
-    group, held, of, tops = 0, 0, [0] * (counts[-1]["cell"] + 1), {}
-    for r in counts:
-        if held >= fill:
-            group, held = group + 1, 0
-        held += r["n"]
-        of[r["cell"]] = group
-        tops[group] = r["top"]
-    return F.element_at(F.lit(of), cell(F.col(f"`{ident}`")) + 1), tops
-
-
-def with_next(docs: DataFrame, ident: str, text: str, derive, out: str) -> DataFrame:
-    """docs with a struct ``out``: own, derive(text); next and next_text, those of the next document.
 
+def _place(ident: Column, digest: Column) -> Column:
+    """A string that sorts by descending id, null last, and then by digest."""
+    flipped = F.lpad(F.hex(F.bitwise_not(ident.cast("long")).bitwiseXOR(F.lit(LOWEST))), 16, "0")
+    return F.concat(F.coalesce(flipped, F.lit("null")), digest)
+
+
+def _starts(docs: DataFrame, place: Column, n: int) -> list[str]:
+    """The first place of each of at most n groups of consecutive places."""
+    spread = docs.select(place.alias("p")).repartitionByRange(n, "p")
+    return sorted(r["p"] for r in spread.groupBy(F.spark_partition_id()).agg(F.min("p").alias("p")).collect())
+
+
+def _group(place: Column, starts: list[str]) -> Column:
+    """How many of the starts after the first one lie at a place or before."""
+    step = max(1, int(len(starts) ** 0.5))
+    upto = lambda a: F.size(F.filter(a, lambda s: s <= place))
+    coarse = upto(F.lit(starts[::step])) - 1
+    return let(coarse, lambda c: c * step + upto(F.slice(F.lit(starts), c * step + 1, step)) - 1).cast("int")
+
+
+def with_next(docs: DataFrame, ident: str, text: str, derive, out: str) -> tuple[DataFrame, str]:
+    """docs with a struct: own, derive(text); next and next_text, those of the next document.
+
+    The struct is named out, or like it where docs have such a column; its name is returned too.
     Descending ids; after the last comes the first.
     """
-    found = _groups(docs, ident)
-    group, copy, digest, own = fresh(docs, "group", "copy", "digest", out)
+    group, copy, digest, own, at = fresh(docs, "group", "copy", "digest", out, "place")
     key, body = F.col(f"`{ident}`"), text_of(F.col(f"`{text}`"))
-    nulls = -1  # the group of null ids, after all others
-    has_null = docs.where(key.isNull()).limit(1).count() > 0
-    if found is None:
-        own_group, also = F.lit(nulls), F.lit(nulls)
-    else:
-        at, tops = found
-        # The first of a group follows the last of the group above; the first of all follows the last of all.
-        above = {top: g + 1 if g + 1 in tops else (nulls if has_null else 0) for g, top in tops.items()}
-        lookup = F.create_map(*[F.lit(x) for pair in above.items() for x in pair])
-        own_group = F.when(key.isNull(), F.lit(nulls)).otherwise(at)
-        also = F.when(key.isNull(), F.lit(0)).when(key.isin(*above), lookup[key.cast("long")])
-    place = lambda g, c: F.struct(g.cast("int").alias("g"), F.lit(c).alias("c"))
-    places = F.array_compact(F.array(place(own_group, 0), F.when(also.isNotNull(), place(also, 1))))
-    dealt = docs.withColumn(group, F.explode(places))
+    n, most = docs.groupBy(key.cast("long").alias("i")).count().agg(F.sum("count"), F.max("count")).first()
+    groups = max(1, min(GROUPS * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), (n or 0) // LEAST_DOCS))
+    hot = (most or 0) > max(LEAST_DOCS, (n or 0) // groups)
+    place = _place(key, F.md5(body) if hot else F.lit(""))
+    starts = _starts(docs, place, groups) or [""]
+    dealt = docs.withColumn(at, place)
+    mine, first = _group(F.col(at), starts), F.col(at).isin(starts)
+    both = let(mine, lambda g: F.array_compact(F.array(
+        F.struct(g.alias("g"), F.lit(0).alias("c")),
+        F.when(first, F.struct(F.pmod(g - 1, F.lit(len(starts))).alias("g"), F.lit(1).alias("c"))),
+    )))
+    dealt = dealt.withColumn(group, F.explode(both))
     dealt = dealt.withColumn(copy, F.col(f"{group}.c")).withColumn(group, F.col(f"{group}.g")).repartition(F.col(group))
     dealt = dealt.withColumn(digest, F.md5(body)).withColumn(own, derive(body))
-    w = Window.partitionBy(group).orderBy(F.col(copy), key.desc_nulls_last(), F.col(digest))
+    w = Window.partitionBy(group).orderBy(F.col(copy), F.col(at), F.col(digest))
     dealt = dealt.withColumn(own, F.struct(F.col(own).alias("own"), F.lead(own).over(w).alias("next"), F.lead(body).over(w).alias("next_text")))
-    return dealt.where(F.col(copy) == 0).drop(group, copy, digest)
+    return dealt.where(F.col(copy) == 0).drop(group, copy, digest, at), own
 
 
 def edited(text: Column, following: Column) -> Column:

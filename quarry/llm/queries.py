@@ -55,19 +55,19 @@ def op4_secret_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_scaled_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sketches of every document and of its edited text, and their likeness."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    df = fingerprints.with_next(docs, "doc_id", "text", fingerprints.sketch, "fp")
-    text = fingerprints.edited(text_of("text"), F.col("fp.next_text"))
-    df = df.select("doc_id", F.length(text_of("text")).cast("long").alias("n_chars"), F.col("fp.own").alias("fingerprint"), F.col("fp.next").alias("next_fp"), text.alias("edited"))
-    df = df.withColumn("edited_fingerprint", fingerprints.sketch(F.col("edited")))
-    own, other = F.col("fingerprint"), F.col("edited_fingerprint")
+    df, fp = fingerprints.with_next(docs, "doc_id", "text", fingerprints.sketch, "fp")
+    text = fingerprints.edited(text_of("text"), F.col(f"{fp}.next_text"))
+    df = df.select("doc_id", F.length(text_of("text")).cast("long").alias("n_chars"), F.col(f"{fp}.own").alias("own"), F.col(f"{fp}.next").alias("next"), text.alias("edited"))
+    df = df.withColumn("changed", fingerprints.sketch(F.col("edited")))
+    own, other = F.col("own"), F.col("changed")
     return df.select(
         "doc_id",
         "n_chars",
         F.sha2("edited", 256).alias("edited_sha256"),
-        "fingerprint",
-        "edited_fingerprint",
+        fingerprints.written(own).alias("fingerprint"),
+        fingerprints.written(other).alias("edited_fingerprint"),
         fingerprints.likeness(own, other).alias("near_edited"),
-        fingerprints.likeness(own, F.col("next_fp")).alias("near_next"),
+        fingerprints.likeness(own, F.col("next")).alias("near_next"),
         fingerprints.containment(own, other).alias("contained_edited"),
     )
 
@@ -91,8 +91,7 @@ def op7_trie_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pseudo-log-likelihood of every document under a model of all documents."""
-    docs = table(spark, sf_dir, "documents")
-    return pseudo_likelihood.scores(docs, pseudo_likelihood.train(docs))
+    return pseudo_likelihood.trained_scores(table(spark, sf_dir, "documents"))
 
 
 def op9_block_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
