@@ -39,7 +39,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.block_anchors import _doubled, _mixed
-from quarry.llm.common import NEAR, SHINGLE_WORDS, Scratch, fresh, let, stored, text_of, words_of
+from quarry.llm.common import NEAR, SHINGLE_WORDS, Scratch, fresh, lean, let, small_batches, stored, text_of, words_of
 
 BANDS, ROWS = 40, 8
 REGISTERS = BANDS * ROWS
@@ -49,8 +49,8 @@ BLOCK_WORDS, BLOCK_ROWS = 1 << 18, 1 << 12
 SHARE = 128
 #: Words and members of one block of a bucket; a cell holds two blocks at most.
 CELL_WORDS, CELL_MEMBERS = 1 << 19, 1 << 11
-#: Turns of labels after which the lineage is cut.
-CUT = 4
+#: Links for each file of labels.
+ROWS = 1 << 18
 
 _SEED = [np.uint64(k) for k in (0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)]
 
@@ -141,7 +141,8 @@ def band_hashes(register: np.ndarray) -> np.ndarray:
 def _blocks(batch: pa.RecordBatch, column: str) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(from, to, words, sizes) of runs of rows with not too many words."""
     lists = batch.column(batch.schema.get_field_index(column))
-    offsets, values = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False).view(np.uint64)
+    offsets, values = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False)
+    values = values.view(np.uint64) if values.dtype == np.int64 else values
     a = 0
     while a < len(lists):
         b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + BLOCK_WORDS, "right")) - 1)
@@ -169,6 +170,7 @@ def signed(docs: DataFrame, ident: str, text: str) -> DataFrame:
     """row, id, digest of the words, number of words, bands and register bytes of each row of docs."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         for batch in batches:
             for a, b, words, sizes in _blocks(batch, "words"):
                 r = signatures(*shingles(words, sizes), len(sizes))
@@ -208,6 +210,7 @@ def bagged(words: DataFrame) -> DataFrame:
     """rep, sig and the bag of each row (rep, sig, words): bytes of hashes and of counts, null where all are 1."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         for batch in batches:
             for a, b, w, sizes in _blocks(batch, "words"):
                 doc, h, n = shingles(w, sizes)
@@ -238,6 +241,7 @@ def star_links(pairs: DataFrame, bodies: DataFrame, near: float) -> DataFrame:
     dealt = members.unionByName(pivots).join(bodies, "rep").repartition(F.col("p"), F.col("share")).sortWithinPartitions("p", "share", "turn").select("p", "turn", "rep", "sig", "h", "n")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         own = sig = None
         for batch in batches:
             p, turn, rep = (batch.column(k).to_numpy() for k in range(3))
@@ -335,6 +339,7 @@ def cross_links(dealt: DataFrame, bodies: DataFrame, near: float) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Cells come one after another and may span batches; one is held at a time."""
+        lean()
         rest, key = [], None
         for batch in batches:
             keys = np.stack([batch.column(k).to_numpy() for k in range(3)], axis=1)
@@ -360,17 +365,16 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
     """
     both = links.unionByName(links.select(F.col("p").alias("a"), F.col("a").alias("p"))).select(F.col("a").alias("v"), F.col("p").alias("u")).distinct()
     both = scratch.stored(both, "links")
-    now, turn = scratch.cached(both.groupBy("v").agg(F.least(F.min("u"), F.col("v")).alias("label"))), 0
+    few = max(1, both.count() // ROWS)  # small tables are written to few files
+    now = scratch.stored(both.groupBy("v").agg(F.least(F.min("u"), F.col("v")).alias("label")).coalesce(few), "labels")
     while True:
         passed = both.join(now.withColumnRenamed("v", "u"), "u").groupBy("v").agg(F.min("label").alias("near"))
         step = now.join(passed, "v", "left").select("v", F.col("label").alias("was"), F.least("label", "near").alias("label"))
         up = now.select(F.col("v").alias("label"), F.col("label").alias("up"))
         step = step.join(up, "label", "left").select("v", "was", F.least("label", "up").alias("label"))
-        turn += 1
-        step = scratch.stored(step, "labels") if turn % CUT == 0 else scratch.cached(step)
-        changed = step.agg(F.count_if(F.col("was") != F.col("label"))).first()[0]
-        if turn % CUT == 0 or not changed:
-            scratch.drop(now)
+        step = scratch.stored(step.coalesce(few), "labels")
+        changed = step.where("was <> label").limit(1).count()
+        scratch.drop(now)
         now = step
         if not changed:
             return now.select("v", "label")
@@ -378,7 +382,7 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
 
 def classes(docs: DataFrame, ident: str = "doc_id", text: str = "text", near: float = NEAR) -> DataFrame:
     """row, id, digest, class_id, class_size and kept for each row of docs, stored."""
-    with Scratch(docs.sparkSession) as scratch:
+    with Scratch(docs.sparkSession) as scratch, small_batches(docs.sparkSession):
         return stored(_classes(docs, ident, text, near, scratch), "classes")
 
 
@@ -403,7 +407,7 @@ def _classes(docs: DataFrame, ident: str, text: str, near: float, scratch: Scrat
     # The pivot is the member of the highest degree.
     ranked = members.join(degrees, "rep")
     pivots = ranked.groupBy("bucket").agg(F.max(F.struct("degree", (-F.col("rep")).alias("r"), "bag")).alias("m")).select("bucket", (-F.col("m.r")).alias("p"), F.col("m.bag").alias("p_bag"))
-    members = scratch.cached(members.join(scratch.cached(pivots), "bucket"))
+    members = scratch.stored(members.join(scratch.cached(pivots), "bucket"), "members")
     pairs = members.where(f"rep <> p and least(bag, p_bag) >= {near} * greatest(bag, p_bag)").select(F.col("rep").alias("a"), "p").distinct()
     first = components(star_links(scratch.cached(pairs), bodies, near), scratch)
     found = cross_links(cells(members, first, scratch), bodies, near)

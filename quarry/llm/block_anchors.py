@@ -38,12 +38,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import fresh, let, text_of, words_of
+from quarry.llm.common import fresh, lean, let, text_of, words_of
 
 WINDOW, BLOCK = 20, 10
 LAST_ID = (1 << 63) - 1  # stands for a null id
 #: Bytes of text that a group holds on average at most.
-GROUP_BYTES = 1 << 24
+GROUP_BYTES = 1 << 23
 
 _K = [np.uint64(k) for k in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
@@ -117,11 +117,11 @@ class Group:
         self.ids, self.sizes, self.tie = ids[self.rows], sizes[self.rows], self.tie[self.rows]
         self.ends = np.cumsum(self.sizes)
         starts = self.ends - self.sizes
-        whole = np.repeat(offsets[self.rows] - starts, self.sizes) + np.arange(self.ends[-1] if len(self.ends) else 0)
-        self.words = values[whole]
-        self.doc = np.repeat(np.arange(len(self.rows)), self.sizes)
-        place = np.arange(len(self.words)) - np.repeat(starts, self.sizes)
-        left = np.repeat(self.sizes, self.sizes) - place
+        total = int(self.ends[-1]) if len(self.ends) else 0
+        self.words = values[np.repeat(offsets[self.rows] - starts, self.sizes) + np.arange(total)]
+        self.doc = np.repeat(np.arange(len(self.rows), dtype=np.int32), self.sizes)
+        place = np.arange(total, dtype=np.int32) - np.repeat(starts.astype(np.int32), self.sizes)
+        left = np.repeat(self.sizes.astype(np.int32), self.sizes) - place
         self.ten, self.twenty = window_hashes(self.words)
         self.in_ten, self.in_twenty = (left >= BLOCK)[: len(self.ten)], (left >= WINDOW)[: len(self.twenty)]
         self.aligned = (place % BLOCK == 0)[: len(self.ten)]
@@ -148,6 +148,7 @@ MESSAGE_DDL = "b int, g int, h binary, d binary"
 
 def _anchors(buckets: int, ident: str, hashes: str, ties: bool):
     def run(t: pa.Table) -> pa.Table:
+        lean()
         g = t["g"][0].as_py()
         x = Group(t, ident, hashes, ties)
         keys = (x.block_keys(buckets)[x.in_ten] << np.uint64(1)) | (~x.aligned[x.in_ten]).astype(np.uint64)
@@ -192,6 +193,7 @@ def _extended(buckets: int, ident: str, hashes: str, ties: bool):
     def run(t: pa.Table, replies: pa.Table) -> pa.Table:
         if not len(t):
             return _table([], MESSAGE)
+        lean()
         g = t["g"][0].as_py()
         x = Group(t, ident, hashes, ties)
         keys = x.block_keys(buckets)
@@ -261,6 +263,7 @@ def _removed(ident: str, text: str, hashes: str, ties: bool, others: list[str],
     def run(t: pa.Table, replies: pa.Table) -> pa.Table:
         if not len(t):
             return out.empty_table()
+        lean()
         x = Group(t, ident, hashes, ties)
         told = [unpacked(h.as_buffer(), np.uint64) for h in replies["h"]]
         gone = _covered(x, np.sort(np.concatenate(told)) if told else np.empty(0, np.uint64))

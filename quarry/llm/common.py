@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
 import os
 import tempfile
 import uuid
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -165,6 +167,34 @@ class Scratch:
         self.held = []
 
 
+#: What drops the things that operators keep in a Python worker between tasks.
+kept_in_worker: list = []
+
+
+def lean(keep: bool = False) -> None:
+    """Give back the memory that earlier tasks left in this Python worker, and what operators keep there unless keep.
+
+    Spark's workers serve one operator after the other.
+    """
+    for drop in [] if keep else kept_in_worker:
+        drop()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # of glibc alone
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, rows: int = 2000):
+    """Fewer rows in an Arrow batch for the jobs that run inside; the session's own value comes back."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def importable(spark: SparkSession) -> None:
     """Let Python workers of a local session import this package from wherever the driver did."""
     root, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment

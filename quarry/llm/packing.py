@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import stored
+from quarry.llm.common import kept_in_worker, lean, stored
 from quarry.llm.trie_bpe import Encoder
 
 CAPACITY = 4096
@@ -72,6 +72,9 @@ def byte_encoder(path: str) -> ByteEncoder:
     return ByteEncoder(path)
 
 
+kept_in_worker.append(byte_encoder.cache_clear)
+
+
 PIECE = ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
@@ -131,6 +134,7 @@ def pack(docs: DataFrame, path: str, ident: str = "doc_id", text: str = "text",
     columns = ", ".join(f"{c} long" for c in PIECE)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean(keep=True)
         e = byte_encoder(path)
         part = TaskContext.get().partitionId()
         packer = Packer(part << 32, capacity, windows)

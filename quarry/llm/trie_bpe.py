@@ -31,6 +31,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from quarry.llm.common import kept_in_worker, lean
+
 #: White space of Unicode, which is less than what str.split() takes as such.
 WHITE = "\t-\r \x85\xa0  -     　"
 #: The pattern of the vocabulary file, with its white space written out.
@@ -38,6 +40,8 @@ WORDS = rf"'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}]+|[\p{{N}}]|[^{WHITE}\p{{L}}\p{{N}}]
 END = "</w>"
 #: Characters of text in a block, and chunks in one generation of what is kept.
 BLOCK, KEPT = 1 << 20, 300_000
+#: Pairs of tokens that a worker remembers at most.
+PAIRS = 1 << 19
 
 
 def byte_letters() -> list[str]:
@@ -76,6 +80,8 @@ class Vocabulary:
         """
         known = self.follows.get((left, right))
         if known is None:
+            if len(self.follows) >= PAIRS:  # they are made again as they are needed
+                self.follows.clear()
             known = self.follows[left, right] = self._border(left, right)
         return known
 
@@ -288,6 +294,9 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
+kept_in_worker.append(encoder.cache_clear)
+
+
 def decode(ids: list[int], v: Vocabulary) -> str:
     """The text of ids as the library gives it for a vocabulary without a decoder: tokens and spaces."""
     return " ".join(map(v.tokens.__getitem__, ids))
@@ -298,6 +307,7 @@ def digests(docs: DataFrame, path: str, ident: str = "doc_id", text: str = "text
     kind = docs.schema[ident].dataType
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean(keep=True)
         e = encoder(path)
         tokens = e.v.tokens
         numbers = {i: str(i) for i in tokens}
