@@ -4,13 +4,14 @@ The classifier, a logistic regression for each target (low quality, toxic), is f
 a bounded sample of labelled documents: word and word-start lexicons come from one half of it,
 weights from the other. It gives each document its evidence (log odds). Evidence is summed by
 host and by path with ordinary grouped aggregation over all documents; the spread between sites,
-estimated by moments, sets how strongly a site is shrunk: a host towards the corpus, a path
-towards its host. A document's posterior joins its own evidence with the rate of its path, taken
+estimated by moments around the rate above them, sets how strongly a site is shrunk: a host towards
+the corpus, a path towards its host. A document's posterior joins its own evidence with the rate of its path, taken
 without itself, so that sparse sites say nothing and the sum of evidence says what it should.
 
 Defined results: a null text is empty; a null host or path is a site of its own; rows that are
-equal each count and get equal results; without labels of both kinds a target's evidence is the
-prior 1/2 for all, so nothing is rejected; an empty table gives an empty result.
+equal each count and get equal results; with fewer than 20 labels of either kind a target's evidence
+is -5 (a chance of 0.0067) for all, so nothing is rejected; an empty table gives an empty result;
+texts count whole at any length; only the columns named are read.
 """
 
 from __future__ import annotations
@@ -163,15 +164,22 @@ def _logit(p: Column) -> Column:
     return F.ln(p / (1 - p))
 
 
-def strength(sites: DataFrame, n: str, total: str, mean: float) -> float:
-    """How many documents the rate above a site counts for, by the moments of rates between sites."""
-    r = sites.select(F.sum(n), F.sum(F.col(n) * F.col(n)), F.count("*"), F.sum(F.col(n) * F.pow(F.col(total) / F.col(n) - mean, 2))).first()
-    docs, squares, count, spread = r
-    if not docs or count < 2 or docs <= squares / docs:
+def strength(sites: DataFrame, n: str, total: str, above: str, mean: str) -> float:
+    """How many documents the rate above a site counts for, by the moments of rates between sites.
+
+    Sites with the same value of above share the rate mean; their spread is taken around it.
+    """
+    rate, inside = F.col(total) / F.col(n), F.col(mean) * (1 - F.col(mean))
+    each = sites.groupBy(above).agg(
+        F.sum(n).alias("docs"), F.sum(F.col(n) * F.col(n)).alias("squares"), F.count("*").alias("count"),
+        F.sum(F.col(n) * F.pow(rate - F.col(mean), 2)).alias("spread"), F.max(inside).alias("inside"),
+    )
+    free = F.sum(F.col("docs") - F.col("squares") / F.col("docs"))
+    free, spread, chance, inside = each.agg(free, F.sum("spread"), F.sum((F.col("count") - 1) * F.col("inside")), F.sum(F.col("docs") * F.col("inside")) / F.sum("docs")).first()
+    if not free or free <= 1e-9:
         return 100.0
-    within = mean * (1 - mean)
-    between = (spread - (count - 1) * within) / (docs - squares / docs)
-    return float(np.clip(within / between - 1, 1.0, 1e5)) if between > 0 else 1e5
+    between = (spread - chance) / free
+    return float(np.clip(inside / between - 1, 1.0, 1e5)) if between > 0 else 1e5
 
 
 def posteriors(docs: DataFrame, model: Classifier, ident: str = "doc_id", host: str = "source", path: str = "lang") -> DataFrame:
@@ -187,10 +195,10 @@ def posteriors(docs: DataFrame, model: Classifier, ident: str = "doc_id", host:
     prior = {t: float(np.clip((total[k + 1] or 0.0) / n, 1e-4, 1 - 1e-4)) for k, t in enumerate(TARGETS)}
     sites = paths.join(hosts, "host_")
     for t in TARGETS:
-        k = strength(hosts, "hn", f"h_{t}", prior[t])
+        k = strength(hosts.withColumns({"all": F.lit(1), "mean": F.lit(prior[t])}), "hn", f"h_{t}", "all", "mean")
         rate = (k * prior[t] + F.col(f"h_{t}")) / (k + F.col("hn"))
         sites = sites.withColumn(f"host_{t}", rate)
-        sites = sites.withColumn(f"k_{t}", F.lit(strength(paths, "n", f"s_{t}", prior[t])))
+        sites = sites.withColumn(f"k_{t}", F.lit(strength(sites.withColumn("mean", F.col(f"h_{t}") / F.col("hn")), "n", f"s_{t}", "host_", "mean")))
     sites = sites.drop("hn", *[f"h_{t}" for t in TARGETS])
     # Sites with over a thousandth of all documents number under HOT; the others are never skewed.
     hot = sites.where(F.col("n") * HOT > n)
